@@ -2,22 +2,45 @@
 
 from __future__ import annotations
 
+from terrane.llm import license_scan as licenses
 from terrane.llm.common import table
+from terrane.llm.language_id import language_id
 from terrane.llm.mixing import curriculum_mix
+from terrane.llm.ordinal_quality import ordinal_quality
 from terrane.llm.quality_rules import quality_rules
+from terrane.llm.url_filter import url_filter
 
 
 def op1_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_quality_classifier(spark, sf_dir):
+    return ordinal_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_url_filter(spark, sf_dir):
+    return url_filter(table(spark, sf_dir, "pages"))
+
+
 def op7_mixing(spark, sf_dir):
     return curriculum_mix(table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark, sf_dir):
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+def op10_license_scan(spark, sf_dir):
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = (op1_quality_rules, op5_quality_classifier, op6_url_filter, op7_mixing, op8_language_id, op10_license_scan)
+
+
 def queries():
-    return {f.__name__: f for f in (op1_quality_rules, op7_mixing)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql():
-    return {}
+    return {"op10_license_scan": licenses.oracle()}
