@@ -117,9 +117,9 @@ def oracle() -> str:
         spelled = f"replace({spelled}, ' {a.replace(' ', '  ')} ', ' {b} ')"
     digest = f"CASE WHEN length(form) BETWEEN 1 AND {longest + ROOM} THEN sha256(trim(replace({spelled}, '  ', ' '))) END"
     return f"""
-WITH texts AS (SELECT doc_id, NULL AS license, list_transform(string_split(lower(coalesce(text, '')), chr(10)), x -> {form}) AS lines FROM documents
-  UNION ALL SELECT NULL, k, list_transform(string_split(lower(t), chr(10)), x -> {form}) FROM (VALUES {rows}) v(k, t)),
-forms AS (SELECT doc_id, license, true AS whole, array_to_string(list_filter(lines, x -> x <> ''), ' ') AS form FROM texts
+WITH texts AS (SELECT doc_id, NULL AS license, list_transform(string_split(lower(coalesce(text, '')), chr(10)), lambda x: {form}) AS lines FROM documents
+  UNION ALL SELECT NULL, k, list_transform(string_split(lower(t), chr(10)), lambda x: {form}) FROM (VALUES {rows}) v(k, t)),
+forms AS (SELECT doc_id, license, true AS whole, array_to_string(list_filter(lines, lambda x: x <> ''), ' ') AS form FROM texts
   UNION ALL SELECT doc_id, license, false, unnest(lines) FROM texts WHERE license IS NULL),
 digests AS (SELECT doc_id, license, whole, {digest} AS digest FROM forms),
 known AS (SELECT digest, min(license) AS license FROM digests WHERE license IS NOT NULL GROUP BY 1),

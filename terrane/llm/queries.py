@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from terrane.llm import license_scan as licenses
 from terrane.llm.common import table
+from terrane.llm.fingerprints import document_fingerprints
 from terrane.llm.language_id import language_id
 from terrane.llm.mixing import curriculum_mix
 from terrane.llm.ordinal_quality import ordinal_quality
+from terrane.llm.packing import pack
 from terrane.llm.quality_rules import quality_rules
 from terrane.llm.url_filter import url_filter
 
@@ -15,6 +17,12 @@ def op1_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_packing(spark, sf_dir):
+    import public_tokenizers
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op5_quality_classifier(spark, sf_dir):
     return ordinal_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -31,11 +39,15 @@ def op8_language_id(spark, sf_dir):
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op9_fingerprints(spark, sf_dir):
+    return document_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_license_scan(spark, sf_dir):
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_quality_rules, op5_quality_classifier, op6_url_filter, op7_mixing, op8_language_id, op10_license_scan)
+QUERIES = (op1_quality_rules, op4_packing, op5_quality_classifier, op6_url_filter, op7_mixing, op8_language_id, op9_fingerprints, op10_license_scan)
 
 
 def queries():
