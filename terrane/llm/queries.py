@@ -6,6 +6,7 @@ from terrane.llm import license_scan as licenses
 from terrane.llm.common import table
 from terrane.llm.fingerprints import document_fingerprints
 from terrane.llm.language_id import language_id
+from terrane.llm.line_dedup import line_dedup
 from terrane.llm.mixing import curriculum_mix
 from terrane.llm.ordinal_quality import ordinal_quality
 from terrane.llm.packing import pack
@@ -17,6 +18,10 @@ def op1_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_line_dedup(spark, sf_dir):
+    return line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark, sf_dir):
     import public_tokenizers
 
@@ -47,7 +52,7 @@ def op10_license_scan(spark, sf_dir):
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_quality_rules, op4_packing, op5_quality_classifier, op6_url_filter, op7_mixing, op8_language_id, op9_fingerprints, op10_license_scan)
+QUERIES = (op1_quality_rules, op3_line_dedup, op4_packing, op5_quality_classifier, op6_url_filter, op7_mixing, op8_language_id, op9_fingerprints, op10_license_scan)
 
 
 def queries():
