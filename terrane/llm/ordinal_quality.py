@@ -18,7 +18,9 @@ selected if tail >= `cutoff`.
 
 The fit uses a bounded sample: about `SAMPLE` labelled rows of each grade, with
 weights that restore the grades' true proportions.  Only that sample's feature
-numbers reach the driver, and the model is `1 << BITS` floats.
+numbers reach the driver, and the model is `1 << BITS` floats.  The sampled ids
+(at most 16 grades of about `SAMPLE` rows, whatever the input) are broadcast, so
+that texts are not shuffled.
 
 Defined cases: a null or word-less text has no words and gets tail 0, expected
 0, not selected; labels with a null are not used and several labels of one
@@ -165,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalMode
                 got = [features(t) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("grade"), pa.array([a for a, _ in got], pa.list_(pa.int64())), pa.array([v for _, v in got], pa.list_(pa.float32()))], ["grade", "at", "value"])
 
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("grade", "text").mapInArrow(run, "grade int, at array<bigint>, value array<float>")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("grade", "text").mapInArrow(run, "grade int, at array<bigint>, value array<float>")
     got = rows.toArrow()
     grade = got.column("grade").to_numpy()
     feats = [(a.astype(np.int64), v.astype(np.float32)) for a, v in zip(got.column("at").to_numpy(), got.column("value").to_numpy())]
