@@ -8,6 +8,7 @@ from terrane.llm.fingerprints import document_fingerprints
 from terrane.llm.language_id import language_id
 from terrane.llm.line_dedup import line_dedup
 from terrane.llm.mixing import curriculum_mix
+from terrane.llm.ngram_join import ngram_join
 from terrane.llm.ordinal_quality import ordinal_quality
 from terrane.llm.packing import pack
 from terrane.llm.quality_rules import quality_rules
@@ -18,6 +19,10 @@ def op1_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_ngram_join(spark, sf_dir):
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark, sf_dir):
     return line_dedup(table(spark, sf_dir, "documents"))
 
@@ -52,7 +57,7 @@ def op10_license_scan(spark, sf_dir):
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_quality_rules, op3_line_dedup, op4_packing, op5_quality_classifier, op6_url_filter, op7_mixing, op8_language_id, op9_fingerprints, op10_license_scan)
+QUERIES = (op1_quality_rules, op2_ngram_join, op3_line_dedup, op4_packing, op5_quality_classifier, op6_url_filter, op7_mixing, op8_language_id, op9_fingerprints, op10_license_scan)
 
 
 def queries():
