@@ -30,7 +30,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrane.functions.expr import let
@@ -55,9 +55,11 @@ def _gamma_quantiles(n: int) -> list[float]:
     return out
 
 
-def _table(values: list[float]) -> Column:
-    """A constant array, folded once from one string."""
-    return F.expr(f"cast(split('{','.join(f'{v:.9g}' for v in values)}', ',') as array<double>)")
+def _tables(spark: SparkSession, n: int) -> tuple[Column, Column]:
+    """Quantiles of r and of ln c as scalar subqueries over a one-row table, so that plans stay small."""
+    gamma = _gamma_quantiles(n)
+    one = materialise(spark.createDataFrame([(gamma, [math.log(x) for x in gamma])], "r array<double>, log_c array<double>").coalesce(1), "gamma")
+    return one.select("r").scalar(), one.select("log_c").scalar()
 
 
 def terms(text: Column) -> Column:
@@ -74,10 +76,8 @@ def terms(text: Column) -> Column:
     return let(F.transform(words(text), lambda x: F.xxhash64(x)), lambda h: let(F.sort_array(pair(h)), counted))
 
 
-def samples(t: Column, log_w: Column, n: int = SAMPLES, levels: int = LEVELS) -> list[Column]:
+def samples(t: Column, log_w: Column, r_of: Column, log_c_of: Column, n: int = SAMPLES, levels: int = LEVELS) -> list[Column]:
     """The packed samples of one term: the least over a text's terms is its signature."""
-    gamma = _gamma_quantiles(levels)
-    r_of, log_c_of = _table(gamma), _table([math.log(x) for x in gamma])
     out = []
     for k in range(n):
         z = F.xxhash64(t, F.lit(k))
@@ -129,7 +129,7 @@ def fingerprint(texts: DataFrame, keys: list[str], n: int = SAMPLES) -> DataFram
     """Adds `sig` (array<int>, nulls for a text without words) to rows that `keys` identify; `text` is dropped."""
     rows = texts.select(*keys, F.explode_outer(terms(F.col("text"))).alias("__t"))
     rows = rows.select(*keys, F.col("__t.t").alias("__x"), F.log(F.col("__t.w").cast("double")).alias("__w"))
-    low = rows.groupBy(*keys).agg(*[F.min(s).alias(f"__s{k}") for k, s in enumerate(samples(F.col("__x"), F.col("__w"), n))])
+    low = rows.groupBy(*keys).agg(*[F.min(s).alias(f"__s{k}") for k, s in enumerate(samples(F.col("__x"), F.col("__w"), *_tables(texts.sparkSession, LEVELS), n))])
     return low.select(*keys, F.array(*[F.col(f"__s{k}").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int") for k in range(n)]).alias("sig"))
 
 
