@@ -20,7 +20,8 @@ its place among its partition's rows of the same source; partition totals give
 the partition's place.  Token ids are written once to the shared folder (two
 bytes each) and read back; they are never shuffled.  Words are cut at ASCII
 white space, which no token of this vocabulary spans, so each different word is
-encoded once per worker (at most `KNOWN` words are remembered).
+encoded once per worker (above `KNOWN` words, those met less than twice are
+forgotten).
 
 Scale: the driver holds one row per source; the table of partition offsets has
 one row per (partition, source) and is broadcast only below the session's
@@ -34,6 +35,7 @@ no rows; other columns are ignored.
 from __future__ import annotations
 
 import zlib
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +48,7 @@ from terrane.sources.workspace import materialise
 LENGTH = 4096
 WINDOW = 16 * LENGTH
 END = 2
-KNOWN = 400_000
+KNOWN = 900_000
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -68,42 +70,62 @@ class WordEncoder:
     def forget(self):
         self.known: dict[bytes, int] = {}
         self.ids, self.used = np.zeros(1 << 16, np.uint16), 0
-        self.at, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.at, self.size, self.hits = (np.zeros(1 << 14, np.int64) for _ in range(3))
 
-    def learn(self, words: list[bytes]):
-        got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for g in got for i in g), np.int64, int(size.sum()))
-        if len(flat) and flat.max() > 0xFFFF:
-            raise ValueError("token ids above 65535 do not fit two bytes")
+    def trim(self):
+        """Forget the words that were met less than twice since the last time."""
+        stay = [w for w, i in self.known.items() if self.hits[i] > 1]
+        which = np.fromiter(map(self.known.__getitem__, stay), np.int64, len(stay))
+        size, at, ids = self.size[which], self.at[which], self.ids
+        self.forget()
+        self._add(stay, size, ids[_spans(at, size)])
+
+    def _add(self, words: list[bytes], size: np.ndarray, flat: np.ndarray):
         n = len(self.known)
-        while n + len(got) > len(self.at):
-            self.at, self.size = np.concatenate([self.at, self.at]), np.concatenate([self.size, self.size])
+        while n + len(words) > len(self.at):
+            self.at, self.size, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size, self.hits))
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, self.ids])
         self.ids[self.used : self.used + len(flat)] = flat
-        self.at[n : n + len(got)] = self.used + np.cumsum(size) - size
-        self.size[n : n + len(got)] = size
+        self.at[n : n + len(words)] = self.used + np.cumsum(size) - size
+        self.size[n : n + len(words)] = size
         self.used += len(flat)
-        self.known.update(zip(words, range(n, n + len(got))))
+        self.known.update(zip(words, range(n, n + len(words))))
+
+    def learn(self, words: list[bytes]):
+        """Encode new words, joined by spaces, and tell by the tokens' places whose they are."""
+        for i in range(0, len(words), 2000):
+            some = [w.decode() for w in words[i : i + 2000]]
+            got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            flat = np.array(got.ids, np.int64)
+            if len(flat) and flat.max() > 0xFFFF:
+                raise ValueError("token ids above 65535 do not fit two bytes")
+            starts = np.cumsum([0, *(len(w) + 1 for w in some)])[:-1]
+            owner = np.searchsorted(starts, np.fromiter((o[0] for o in got.offsets), np.int64, len(flat)), "right") - 1
+            self._add(words[i : i + 2000], np.bincount(owner, minlength=len(some)), flat)
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text and the end id."""
         split = [(t or "").encode().split() for t in texts]
+        words = list(chain.from_iterable(split))
         if len(self.known) > KNOWN:
-            self.forget()
-        new = set().union(*split).difference(self.known)
+            self.trim()
+        which = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(which < 0).tolist()
         if new:
-            self.learn(sorted(new))
-        out = []
-        for words in split:
-            which = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-            size = self.size[which]
-            ends = np.cumsum(size)
-            total = int(ends[-1]) if len(ends) else 0
-            ids = np.full(total + 1, END, np.uint16)
-            ids[:total] = self.ids[np.repeat(self.at[which] - ends + size, size) + np.arange(total)]
-            out.append(ids)
-        return out
+            self.learn(sorted({words[i] for i in new}))
+            which[new] = [self.known[words[i]] for i in new]
+        self.hits[: len(self.known)] += np.bincount(which, minlength=len(self.known))
+        size = self.size[which]
+        flat = self.ids[_spans(self.at[which], size)]
+        ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum([0, *map(len, split)])]
+        return [np.append(flat[a:b], np.uint16(END)) for a, b in zip(ends.tolist(), ends[1:].tolist())]
+
+
+def _spans(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of all spans [at, at + size), one after another."""
+    ends = np.cumsum(size)
+    return np.repeat(at - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 class Schedule:
