@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,8 +41,10 @@ def materialise(df: DataFrame, name: str = "t", release: bool = False) -> DataFr
     out = spark.read.schema(df.schema).parquet(path)
     if release:
         del df
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        for _ in range(3):  # the last listeners may still hold the finished step
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
+            time.sleep(0.4)
     return out
 
 
