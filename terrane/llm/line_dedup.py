@@ -54,7 +54,7 @@ def word_shingles(line: Column) -> Column:
     """The shingles that the signature is made of."""
     from_words = F.lit(rf"(?s) (?=([^ ].{{{SHINGLE - 1}}}))")
     every = F.lit(rf"(?s)(?=([^ ].{{{SHINGLE - 1}}}))")
-    dense = F.char_length(line) > 16 * F.regexp_count(F.concat(F.lit(" "), line), F.lit(" +"))
+    dense = F.char_length(line) > 16 * (1 + F.char_length(line) - F.char_length(F.replace(line, F.lit(" "), F.lit(""))))
     return let(_padded(line), lambda p: F.when(dense, F.regexp_extract_all(p, every, F.lit(1))).otherwise(F.regexp_extract_all(p, from_words, F.lit(1))))
 
 
