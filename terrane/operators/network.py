@@ -28,6 +28,14 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "node_id") -> Dat
     return nodes.select(F.col(node).alias("node_id")).join(found.withColumnRenamed("node", "node_id"), "node_id", "left").select("node_id", F.coalesce("component", "node_id").alias("component"))
 
 
+def neighbour_lists(nodes: DataFrame, edges: DataFrame, node: str = "node_id") -> DataFrame:
+    """`(node_id, neighbours)`: sorted neighbours of every node, an empty array for none."""
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    lists = both.groupBy(F.col("src").alias("node_id")).agg(F.array_sort(F.collect_set("dst")).alias("neighbours"))
+    out = nodes.select(F.col(node).alias("node_id")).join(lists, "node_id", "left")
+    return out.select("node_id", F.coalesce("neighbours", F.array().cast("array<bigint>")).alias("neighbours"))
+
+
 def network_summary(nodes: DataFrame, edges: DataFrame, node: str = "node_id") -> DataFrame:
     """One row: n_nodes, n_edges, n_components."""
     n = components(nodes, edges, node).agg(F.count(F.lit(1)).alias("n_nodes"), F.countDistinct("component").alias("n_components"))

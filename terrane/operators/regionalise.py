@@ -100,6 +100,12 @@ def tree_labels(edges: DataFrame, regions: int, trees: int, seed: int = 0) -> Da
     return spark.range(trees, numPartitions=min(trees, 4 * spark.sparkContext.defaultParallelism)).mapInArrow(run, "tree_id int, node_id bigint, label int")
 
 
+def wide_labels(labels: DataFrame, trees: int) -> DataFrame:
+    """`(node_id, regionalization_1..regionalization_t)`; trees are numbered from 0 in `labels`."""
+    cols = [F.max(F.when(F.col("tree_id") == t, F.col("label"))).alias(f"regionalization_{t + 1}") for t in range(trees)]
+    return labels.groupBy("node_id").agg(*cols)
+
+
 def label_distance(labels: DataFrame) -> DataFrame:
     """`(a, b, distance)`, a < b: share of trees that label two nodes differently; pairs that never share a label are left out (distance 1)."""
     n = labels.select(F.countDistinct("tree_id").alias("n"))
@@ -117,7 +123,7 @@ def mismatches(sig: np.ndarray) -> np.ndarray:
 
 
 def pam(dist: np.ndarray, weight: np.ndarray, k: int, rounds: int = 200) -> list[int]:
-    """Medoids by BUILD and SWAP (Kaufman and Rousseeuw), ties to the lowest index; swaps are judged as in FastPAM."""
+    """Medoids of a symmetric distance matrix by BUILD and SWAP (Kaufman and Rousseeuw), ties to the lowest index; swaps are judged as in FastPAM."""
     n = len(dist)
     if not 1 <= k <= n:
         raise ValueError(f"{k} medoids of {n} different rows")
@@ -125,7 +131,7 @@ def pam(dist: np.ndarray, weight: np.ndarray, k: int, rounds: int = 200) -> list
     near = None
     medoids: list[int] = []
     for _ in range(k):
-        gain = -(weight @ d) if near is None else np.array([weight @ np.maximum(near - d[:, c], 0) for c in range(n)])
+        gain = -(weight @ d) if near is None else np.array([weight @ np.maximum(near - d[c], 0) for c in range(n)])
         gain[medoids] = -np.inf
         medoids.append(int(gain.argmax()))
         near = d[:, medoids].min(axis=1)
@@ -138,7 +144,7 @@ def pam(dist: np.ndarray, weight: np.ndarray, k: int, rounds: int = 200) -> list
         removal = np.bincount(first, weight * (np.where(np.isinf(d2), 0, d2) - d1), k) if k > 1 else np.zeros(1)
         best = (-1e-9, -1, -1)
         for c in sorted(set(range(n)) - set(medoids)):
-            x = d[:, c]
+            x = d[c]
             if k == 1:
                 change = np.array([float(weight @ (x - d1))])
             else:

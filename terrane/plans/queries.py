@@ -65,6 +65,13 @@ def contiguity_rook(spark, sf_dir):
     return rook(spark, sf_dir)
 
 
+@query(f"WITH {UNITS_SQL}, e AS ({EDGES_SQL['rook'].format(t='h')}), b AS (SELECT src AS node_id, dst FROM e UNION ALL SELECT dst, src FROM e) SELECT node_id, string_agg(dst, ',' ORDER BY dst) AS neighbours FROM h LEFT JOIN b USING (node_id) GROUP BY 1")
+def neighbour_lists(spark, sf_dir):
+    h = units(spark, sf_dir, True)
+    lists = network.neighbour_lists(h, contiguity.snap_edges(h, "rook"))
+    return lists.select("node_id", F.when(F.size("neighbours") > 0, F.array_join("neighbours", ",")).alias("neighbours"))
+
+
 @query(f"WITH {UNITS_SQL} {EDGES_SQL['rook'].format(t='h')}")
 def contiguity_min_shared_length(spark, sf_dir):
     return contiguity.snap_edges(units(spark, sf_dir, True), "queen", min_shared_length=1.0)

@@ -38,6 +38,7 @@ def test_skater_on_lattice(spark):
     labels = R.tree_labels(e, 20, 12, seed=4)
     counts = labels.groupBy("tree_id").agg(F.countDistinct("label").alias("k"), F.count("*").alias("n")).collect()
     assert len(counts) == 12 and {(r["k"], r["n"]) for r in counts} == {(20, 100)}
+    assert len(R.wide_labels(labels, 12).columns) == 13
     rows = R.skater_con(e, 5, 12, 20, seed=4).orderBy("node_id").collect()
     again = R.skater_con(e.repartition(7), 5, 12, 20, seed=4).orderBy("node_id").collect()
     assert rows == again and len(rows) == 100
