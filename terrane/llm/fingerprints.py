@@ -58,7 +58,9 @@ def _gamma_quantiles(n: int) -> list[float]:
 def _tables(spark: SparkSession, n: int) -> tuple[Column, Column]:
     """Quantiles of r and of ln c as scalar subqueries over a one-row table, so that plans stay small."""
     gamma = _gamma_quantiles(n)
-    one = materialise(spark.createDataFrame([(gamma, [math.log(x) for x in gamma])], "r array<double>, log_c array<double>").coalesce(1), "gamma")
+    constant = lambda xs: F.split(F.lit(",".join(map(repr, xs))), ",").cast("array<double>")
+    one = spark.range(1, numPartitions=1).select(constant(gamma).alias("r"), constant([math.log(x) for x in gamma]).alias("log_c"))
+    one = materialise(one, "gamma")
     return one.select("r").scalar(), one.select("log_c").scalar()
 
 
