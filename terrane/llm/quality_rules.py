@@ -180,9 +180,12 @@ def quality_stage(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delt
     """The documents that `quality_rules` keeps, with the input's columns.
 
     Texts are scored twice, once for the cutoffs and once for the verdict, so
-    that no text is shuffled.
+    that no text is shuffled.  The scores pass through a generator, which keeps
+    the optimizer from copying their expressions into the filter.
     """
     scores = materialise(_scores(docs), "scores")
     cutoffs = materialise(select_cutoffs(scores, labels, alpha, delta), "cutoffs")
     packed = docs.select(F.struct(*docs.columns).alias("__row"), F.col("text"), stratum(F.col("lang")).alias("__stratum"))
-    return _verdict(base_counts(packed), cutoffs).where("kept").select("__row.*")
+    score = F.explode(F.array(F.struct("base_failed", *RULES))).alias("__f")
+    scored = base_counts(packed).select("__row", "__stratum", score).select("__row", "__stratum", "__f.*")
+    return _verdict(scored, cutoffs).where("kept").select("__row.*")
