@@ -6,9 +6,7 @@ sets of `SHINGLE`-character shingles (lower case, the line padded by blanks) is
 at least `threshold`.  Of each connected group of duplicates, over all
 documents, the one occurrence with the least (doc_id, place) stays.
 
-* Signatures: `HASHES` minima over the shingles that begin at a word, a
-  content-defined sample of the line's shingles (a line whose words average over
-  16 characters uses all its shingles).
+* Signatures: `HASHES` minima over all shingles of the line.
 * Banding: 12 bands of 4 of the 24 minima; every minimum is in two bands that
   share nothing else.  Similarity 0.8 meets in some band with probability 0.998.
 * Verification: exact Jaccard over all shingles of both lines.  In each band
@@ -50,17 +48,14 @@ def _padded(line: Column) -> Column:
     return F.concat(F.lit(" "), F.lower(line), F.lit(" " * (SHINGLE - 1)))
 
 
-def word_shingles(line: Column) -> Column:
-    """The shingles that the signature is made of."""
-    from_words = F.lit(rf"(?s) (?=([^ ].{{{SHINGLE - 1}}}))")
-    every = F.lit(rf"(?s)(?=([^ ].{{{SHINGLE - 1}}}))")
-    dense = F.char_length(line) > 16 * (1 + F.char_length(line) - F.char_length(F.replace(line, F.lit(" "), F.lit(""))))
-    return let(_padded(line), lambda p: F.when(dense, F.regexp_extract_all(p, every, F.lit(1))).otherwise(F.regexp_extract_all(p, from_words, F.lit(1))))
+def every_shingle(line: Column) -> Column:
+    """The shingle at every place of a line."""
+    return F.regexp_extract_all(F.substr(_padded(line), F.lit(2)), F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
 
 
 def shingles(line: Column) -> Column:
     """All different shingles of a line."""
-    return F.array_distinct(F.regexp_extract_all(F.substr(_padded(line), F.lit(2)), F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)))
+    return F.array_distinct(every_shingle(line))
 
 
 def _row_key(docs: DataFrame) -> Column:
@@ -77,7 +72,7 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
 
 def _candidates(lines: DataFrame) -> DataFrame:
     """`band, id, lead`: the members of every band group but its least, the lead."""
-    rows = lines.select("id", F.explode(word_shingles(F.col("line"))).alias("s")).select("id", F.xxhash64("s").alias("h"))
+    rows = lines.select("id", F.explode(every_shingle(F.col("line"))).alias("s")).select("id", F.xxhash64("s").alias("h"))
     low = rows.groupBy("id").agg(*[F.min(F.xxhash64("h", F.lit(k))).alias(f"m{k}") for k in range(HASHES)])
     bands = low.select("id", F.explode(F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{k}") for k in own]) for b, own in enumerate(BANDS)])).alias("band"))
     lead = F.min("id").over(Window.partitionBy("band").orderBy("id").rowsBetween(Window.unboundedPreceding, 0))

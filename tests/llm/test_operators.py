@@ -178,6 +178,18 @@ def test_line_dedup_equals_brute_force(spark):
         assert got[i]["text_sha256"] == hashlib.sha256(text.encode()).hexdigest() and got[i]["n_kept"] == len(kept[i])
 
 
+def test_line_dedup_finds_short_and_numbered_lines(spark):
+    rng = random.Random(8)
+    names = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(4, 9))) for _ in range(60)]
+    pairs = [(f"1 {w}", f"2 {w}") for w in names] + [(f"A quick {w} fox", f"B quick {w} fox") for w in names]
+    sh = lambda x: {(x.lower() + " " * 7)[k : k + 8] for k in range(len(x))}
+    pairs = [p for p in pairs if jaccard(*map(sh, p)) >= 0.8]
+    docs = [(i, x, "en", "a") for i, x in enumerate(x for p in pairs for x in p)]
+    got = {r["doc_id"]: r["n_kept"] for r in line_dedup.line_dedup(documents(spark, docs)).collect()}
+    assert len(pairs) > 90 and all(got[i] == 1 for i in range(0, len(docs), 2))
+    assert sum(got[i] == 0 for i in range(1, len(docs), 2)) >= 0.98 * len(pairs)
+
+
 def test_line_dedup_awkward(spark):
     got = line_dedup.line_dedup(documents(spark)).collect()
     assert len(got) == len(TEXTS)
