@@ -1,7 +1,6 @@
 """Licence scan by canonical digests (operator 10).
 
-A text's canonical form: lower case, lines that begin with a copyright mark
-dropped, everything but letters and digits replaced by one space, equivalent
+A text's canonical form: lower case, copyright notices (lines) dropped, everything but letters and digits replaced by one space, equivalent
 spellings replaced.  The SHA-256 digests of the canonical forms of whole texts,
 and of each of their lines, are hash-joined to the digests of known licence
 texts.  Only entire texts or entire lines match.
@@ -56,7 +55,11 @@ SPELLINGS = {
     "non commercial": "noncommercial", "non infringement": "noninfringement", "share alike": "sharealike", "organisation": "organization",
     "favour": "favor", "fulfil": "fulfill", "judgement": "judgment", "acknowledgement": "acknowledgment", "merchantibility": "merchantability", "v": "version", "ver": "version", "https": "http",
 }
-COPYRIGHT = r"^[^\p{L}\p{N}©]*(?:copyright|\(c\)|©|all rights reserved)"
+#: A line that is a copyright notice; other lines that begin with the word are the licence's.
+COPYRIGHT = (
+    r"^[^\p{L}\p{N}©]*(?:©|\(c\)[^\p{L}\p{N}]*(?:copyright|[0-9]{4})|all rights reserved[^\p{L}\p{N}]*$"
+    r"|copyright[\s:,]*(?:\(c\)|©|[0-9]{4}|by\b|[\[<{])|copyright[\s:,]+(?:the [^.]*\b(?:authors|contributors)|[^.]*\b(?:inc|llc|ltd|gmbh|corporation))[^\p{L}\p{N}]*$)"
+)
 REST = r"[^\p{L}\p{N}]+"
 ROOM = 64
 

@@ -520,3 +520,16 @@ def test_pipeline_on_awkward_rows(spark, tmp_path):
 
 def test_unused_cases_are_different():
     assert NEAR != BASE and LINES and 0.8 < jaccard(shingles(NEAR), shingles(BASE)) < 1
+
+
+def test_license_texts_wrapped_at_every_word(spark):
+    notices = ["Copyright (c) 2020 A", "Copyright 2020 A", "# Copyright © A", "(c) 2020 A", "© A", "Copyright by A", "Copyright The A Authors", "Copyright A, Inc.", "Copyright [yyyy] [name]", "All rights reserved."]
+    docs, want = [], {}
+    for name, text in (("MIT", license_scan.LICENSES["MIT"][2]), ("ISC", license_scan.LICENSES["ISC"][0])):
+        w = text.split(" ")
+        for mark in ("", "# "):
+            for k in range(1, len(w)):
+                want[len(docs)] = name
+                docs.append((len(docs), f"{notices[k % len(notices)]}\n{mark}{' '.join(w[:k])}\n{mark}{' '.join(w[k:])}", "en", "a"))
+    got = {r["doc_id"]: (r["licenses"], r["whole"]) for r in license_scan.license_scan(documents(spark, docs)).collect()}
+    assert got == {i: (name, True) for i, name in want.items()}
