@@ -7,7 +7,8 @@ texts.  Only entire texts or entire lines match.
 
 Scale: canonical forms are made by row with built-in functions and no text is
 shuffled.  A form longer than the longest known one (with room for spellings)
-cannot match and gets no digest.  Digests that match are few; they are grouped
+cannot match and gets no digest, nor does one that begins otherwise than every
+known one.  Digests that match are few; they are grouped
 by document and joined back to the ids.  The table of known digests is a local
 table whose size Spark knows; it is broadcast below the session's limit.
 
@@ -17,12 +18,14 @@ doc_id gets the licences of all its rows; a null doc_id matches nothing.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.functions.expr import let
 
-#: Known licence notices and short licence texts, by SPDX identifier.
+#: Known licence notices and short licence texts, by SPDX identifier; the full texts in `licenses/` are added below.
 LICENSES = {
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
@@ -49,6 +52,29 @@ LICENSES = {
     "BSD-3-Clause": ["Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
+#: Titles that may stand before the texts in `licenses/`, which are without theirs.
+TITLES = {
+    "Apache-2.0": ["Apache License Version 2.0, January 2004 http://www.apache.org/licenses/", "Apache License Version 2.0, January 2004"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License"],
+    "CC0-1.0": ["CC0 1.0 Universal", "Creative Commons Legal Code CC0 1.0 Universal"],
+    "CC-BY-SA-4.0": ["Attribution-ShareAlike 4.0 International", "Creative Commons Attribution-ShareAlike 4.0 International"],
+    "GPL-2.0": ["GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
+    "GPL-3.0": ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "ISC": ["ISC License", "The ISC License"],
+    "LGPL-2.1": ["GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"],
+    "LGPL-3.0": ["GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"],
+    "MPL-2.0": ["Mozilla Public License Version 2.0"],
+    "Unlicense": ["The Unlicense", "Unlicense"],
+}
+END = "END OF TERMS AND CONDITIONS"
+for _file in sorted((Path(__file__).parent / "licenses").glob("*.txt")):
+    # with and without the appendix, with and without a title
+    _body = _file.read_text(encoding="utf-8")
+    _terms = _body.partition(END)[0]
+    for _part in dict.fromkeys([_body, _terms + END, _terms] if END in _body else [_body]):
+        LICENSES.setdefault(_file.stem, []).extend([_part, *(f"{x}\n{_part}" for x in TITLES[_file.stem])])
 #: Equivalent spellings, as words of the canonical form.
 SPELLINGS = {
     "licence": "license", "licences": "licenses", "licenced": "licensed", "sub license": "sublicense", "sub licence": "sublicense",
@@ -62,6 +88,8 @@ COPYRIGHT = (
 )
 REST = r"[^\p{L}\p{N}]+"
 ROOM = 64
+#: The first HEAD characters of a form with its spellings replaced depend on its first CUT only.
+HEAD, CUT = 24, 96
 
 
 def _spelled(t: Column) -> Column:
@@ -79,9 +107,17 @@ def canonical_lines(text: Column) -> Column:
     return F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), "\n"), line)
 
 
-def _digest(form: Column, longest: int) -> Column:
-    """SHA-256 of a form with its spellings replaced; null if it is empty or too long to match."""
-    return F.when((F.length(form) > 0) & (F.length(form) <= longest + ROOM), F.sha2(F.trim(_spelled(F.concat(F.lit(" "), form, F.lit(" ")))), 256))
+def _form(form: Column) -> Column:
+    return F.trim(_spelled(F.concat(F.lit(" "), form, F.lit(" "))))
+
+
+def _head(form: Column) -> Column:
+    return F.substring(_form(F.substring(form, 1, CUT)), 1, HEAD)
+
+
+def _digest(form: Column, longest: int, heads: list[str]) -> Column:
+    """SHA-256 of a form with its spellings replaced; null if it is empty, too long or begins otherwise than all of `heads`."""
+    return F.when((F.length(form) > 0) & (F.length(form) <= longest + ROOM), F.when(_head(form).isin(heads), F.sha2(_form(form), 256)))
 
 
 def _whole(lines: Column) -> Column:
@@ -93,12 +129,15 @@ def license_scan(docs: DataFrame, licenses: dict[str, list[str]] = LICENSES) ->
     spark = docs.sparkSession
     longest = max((len(t) for ts in licenses.values() for t in ts), default=0)
     known = spark.createDataFrame([(k, t) for k, ts in sorted(licenses.items()) for t in ts], "license string, known string")
-    known = known.select("license", _digest(_whole(canonical_lines(F.col("known"))), longest).alias("digest")).groupBy("digest").agg(F.min("license").alias("license"))
+    known = known.select("license", _whole(canonical_lines(F.col("known"))).alias("form")).where("form <> ''")
+    rows = known.select(F.sha2(_form(F.col("form")), 256).alias("digest"), "license", _head(F.col("form")).alias("head")).collect()  # a row per known text
+    heads = sorted({r["head"] for r in rows})
+    known = spark.createDataFrame([(r["digest"], r["license"]) for r in rows], "digest string, license string").groupBy("digest").agg(F.min("license").alias("license"))
     units = let(
         canonical_lines(F.col("text")),
         lambda x: F.concat(
-            F.array(F.struct(F.lit(True).alias("whole"), _digest(_whole(x), longest).alias("digest"))),
-            F.transform(x, lambda line: F.struct(F.lit(False).alias("whole"), _digest(line, longest).alias("digest"))),
+            F.array(F.struct(F.lit(True).alias("whole"), _digest(_whole(x), longest, heads).alias("digest"))),
+            F.transform(x, lambda line: F.struct(F.lit(False).alias("whole"), _digest(line, longest, heads).alias("digest"))),
         ),
     )
     units = docs.select("doc_id", F.explode(units).alias("u")).select("doc_id", "u.*").where("digest is not null and doc_id is not null")

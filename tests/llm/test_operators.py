@@ -533,3 +533,22 @@ def test_license_texts_wrapped_at_every_word(spark):
                 docs.append((len(docs), f"{notices[k % len(notices)]}\n{mark}{' '.join(w[:k])}\n{mark}{' '.join(w[k:])}", "en", "a"))
     got = {r["doc_id"]: (r["licenses"], r["whole"]) for r in license_scan.license_scan(documents(spark, docs)).collect()}
     assert got == {i: (name, True) for i, name in want.items()}
+
+
+def test_full_license_texts(spark):
+    folder = license_scan.Path(license_scan.__file__).parent / "licenses"
+    docs, want = [], []
+    for f in sorted(folder.glob("*.txt")):
+        body = f.read_text(encoding="utf-8")
+        again = "\n".join("  " + " ".join(p.split()) for p in re.sub(r"\blicense\b", "licence", body).split("\n\n") if p.strip() and "Copyright (C)" not in p)
+        forms = [body, "Copyright (c) 2021 A\n\n" + body.replace("https:", "http:"), *(x + "\n\nCopyright 2021 B\n" + body for x in license_scan.TITLES[f.stem])]
+        forms += [again] if "Copyright (C)" not in body else []
+        for form in forms:
+            docs.append((len(docs), form, "en", "a"))
+            want.append((f.stem, True))
+        docs.append((len(docs), body + "\nand more terms", "en", "a"))
+        want.append((None, False))
+    got = {r["doc_id"]: r for r in license_scan.license_scan(documents(spark, docs)).collect()}
+    assert len(list(folder.glob("*.txt"))) == 13
+    for i, (name, whole) in enumerate(want):
+        assert got[i]["whole"] == whole and (not whole or name in got[i]["licenses"].split(",")), (i, name)
