@@ -325,13 +325,13 @@ def row_numbers(spark, sf_dir):
     return present.numbered(c, ["c_mktsegment", "node_id"], "row_no").select("row_no", "node_id")
 
 
-def _regions(spark, sf_dir, trees=40, regions=12, k=3):
+def _regions(spark, sf_dir, trees=100, k=3):
     """Units, connected, with fuzzy memberships: the whole chain on units with holes."""
     u = units(spark, sf_dir, True)
     filled = materialise(A.impute_nearest(u, ["v2", "v3"], 1.0).drop("gx", "gy"), "units")
     net = network.polygon_to_network(filled)
     weighted = A.add_edge_weight(filled, net.edges, variables=VARIABLES)
-    return filled, regionalise.skater_con(weighted, k, trees, regions, seed=7)
+    return filled, regionalise.skater_con(weighted, k, trees, seed=7)
 
 
 @query()
@@ -346,7 +346,7 @@ def river_types_full(spark, sf_dir):
     both = filled.join(m, "node_id")
     core = cores.core_regions(both, ["X1", "X2", "X3"], 0.4)
     data = both.select("node_id", *VARIABLES, "X1", "X2", "X3")
-    return mixture.river_types(data, core, ["X1", "X2", "X3"], range(1, 4))[0]
+    return mixture.river_types(data, core, ["X1", "X2", "X3"])[0]
 
 
 def flagship(spark, sf_dir):

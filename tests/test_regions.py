@@ -180,3 +180,10 @@ def test_tiles(spark, tmp_path):
     inside, between = tile_edges(tiles, "rook")
     assert inside.count() == 4 and [tuple(r) for r in between.collect()] == [(3, 4)]
     assert tile_summary(tiles).count() == 2 and rim(tiles).count() == 6
+
+
+def test_registered_river_types_try_more_than_three_components(spark):
+    from terrane.plans import queries
+
+    got = queries.river_types_full(spark, "/root/testdata/sf0.001")
+    assert max(int(c.split("RiverType")[1]) for c in got.columns if c != "node_id") > 3
