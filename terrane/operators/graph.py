@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.sources.workspace import materialise
+from terrane.sources.workspace import drop, materialise
 
 
 def _state(edges: DataFrame) -> tuple[int, int | None]:
@@ -34,7 +34,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialise(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        last, e = e, materialise(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        drop(last)
         before, state = state, _state(e)
         if state == before:
             break
