@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from terrane.sources.workspace import drop, materialise
 
 
-def _state(edges: DataFrame) -> tuple[int, int | None]:
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x")).first()
-    return row["n"], row["x"]
+def _written(edges: DataFrame) -> DataFrame:
+    """The edges written, with their number and a digest of them `observed`."""
+    return materialise(edges, "edges", observe={"n": F.count(F.lit(1)), "x": F.expr("bit_xor(xxhash64(u, v))")})
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 64) -> DataFrame:
@@ -24,20 +24,18 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """
     e = edges.select(F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b"))
     e = e.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = materialise(e, "edges")
-    state = _state(e)
+    e = _written(e)
     for _ in range(max_rounds):
-        if not state[0]:
+        if not e.observed["n"]:
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        last, e = e, materialise(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        last, e = e, _written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         drop(last)
-        before, state = state, _state(e)
-        if state == before:
+        if e.observed == last.observed:
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")

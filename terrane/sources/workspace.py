@@ -12,7 +12,7 @@ import tempfile
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _own: dict[str, str] = {}
 _written: dict[str, list[str]] = {}
@@ -31,18 +31,20 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
-def materialise(df: DataFrame, name: str = "t", release: bool = False) -> DataFrame:
+def materialise(df: DataFrame, name: str = "t", release: bool = False, observe: dict[str, Column] | None = None) -> DataFrame:
     """Write `df` to the shared folder and return the table read back.
 
+    `observe`: aggregates to compute while writing, found in the result's `observed`.
     `release` asks the driver to collect its garbage afterwards, so that Spark
     deletes the shuffle files of the finished step.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/terrane-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    seen = Observation() if observe else None
+    (df.observe(seen, *[c.alias(k) for k, c in observe.items()]) if seen else df).write.option("compression", "zstd").parquet(path)
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._written_at = path
+    out._written_at, out.observed = path, seen.get if seen else {}
     if release:
         del df
         for _ in range(3):  # the last listeners may still hold the finished step
