@@ -19,7 +19,7 @@ selected if tail >= `cutoff`.
 The fit uses a bounded sample: about `SAMPLE` labelled rows of each grade, with
 weights that restore the grades' true proportions.  Only that sample's feature
 numbers reach the driver, and the model is `1 << BITS` floats.  The sampled ids
-(at most 16 grades of about `SAMPLE` rows, whatever the input) are broadcast, so
+(three grades of about `SAMPLE` rows, whatever the input) are broadcast, so
 that texts are not shuffled.
 
 Defined cases: a null or word-less text has no words and gets tail 0, expected
@@ -157,7 +157,7 @@ def _rated(labels: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalModel:
     rated = _rated(labels)
     totals = {r["grade"]: r["count"] for r in rated.groupBy("grade").count().collect()}
-    chosen = bounded_sample(rated, "grade", "doc_id", sample, 16)
+    chosen = bounded_sample(rated, "grade", "doc_id", sample)
 
     def run(batches):
         features = Features()

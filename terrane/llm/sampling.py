@@ -6,16 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def bounded_sample(rows: DataFrame, group: str, key: str, bound: int, most_groups: int) -> DataFrame:
-    """About `bound` rows of each of the `most_groups` largest groups: those with the least hash of `key`.
+def bounded_sample(rows: DataFrame, group: str, key: str, bound: int) -> DataFrame:
+    """About `bound` rows of each group (none of the null one): those with the least hash of `key`.
 
     The share to keep comes from counts over all rows, so no group is gathered
-    or sorted.  All rows are kept of a group within the bound; a larger one
-    gives `bound` rows in expectation.
+    or sorted, and there may be any number of groups: their counts are joined.
+    All rows are kept of a group within the bound; a larger one gives `bound`
+    rows in expectation.
     """
-    counts = [r for r in rows.groupBy(group).count().orderBy(F.desc("count"), group).limit(most_groups).collect() if r[0] is not None]
+    counts = rows.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
     place = F.pmod(F.xxhash64(F.lit(23), key), F.lit(1 << 30)) / float(1 << 30)
-    keep = F.lit(False)
-    for r in counts:
-        keep = keep | ((F.col(group) == F.lit(r[0])) & (place < F.lit(min(1.0, bound / r["count"]))))
-    return rows.where(keep)
+    return rows.join(counts, group).where(place < F.lit(float(bound)) / F.col("__n")).select(*rows.columns)

@@ -102,7 +102,7 @@ def url_filter(pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFrame
     for by in ("suffix", "first"):
         rows = rows.join(_rates(labelled, by), by, "left").fillna(0.5, [f"{by}_block"])
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="__x").transform(rows)
-    train = bounded_sample(rows.where("listed is not null"), "listed", "url", sample, 2)
+    train = bounded_sample(rows.where("listed is not null"), "listed", "url", sample)
     train = materialise(train.select("__x", (F.col("listed") == "block").cast("double").alias("__y")), "train")
     seen = [r[0] for r in train.select("__y").distinct().collect()]
     if len(seen) == 2:

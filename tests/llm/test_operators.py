@@ -136,8 +136,51 @@ def test_ngram_join_in_small_blocks(spark, monkeypatch):
     assert {r["doc_id"]: tuple(r) for r in ngram_join.ngram_join(documents(spark, rows)).collect()} == want
 
 
-def test_prefix_length_and_intersections():
-    assert ngram_join.prefix_length() == 6 and ngram_join.prefix_length(trees=4, depth=3, target=0.9) == 3 and ngram_join.prefix_length(trees=1, target=1.0) == 1
+def test_depths_adapt():
+    reach = lambda at, alone: 1 - math.prod(1 - 0.8**d for d in [*at.values(), *[ngram_join.SHALLOW] * alone])
+    crowded = {t: [9000, 90, 9, 2] if t < 6 else [3, 3, 2, 2] for t in range(24)}
+    at = ngram_join.choose_depths(crowded)
+    assert set(at) == set(range(24)) and reach(at, 0) >= 0.999 and at[0] > at[23] and len(set(at.values())) > 1
+    few = ngram_join.choose_depths({0: [500, 500, 500, 500], 1: [500, 400, 300, 2]})
+    assert few == {0: 8, 1: 8} and reach(few, 22) >= 0.999  # other trees are short and empty: no need to open these
+    assert set(ngram_join.choose_depths({0: [2, 2], 1: [2, 2]}, trees=2, depth=2, shallow=1, target=0.9999).values()) == {1}
+
+
+def test_documents_end_at_different_depths(spark):
+    rng = random.Random(6)
+    rows = near_corpus()
+    w = prose(90, 200).split()
+    for _ in range(60):  # a crowd of variants of one text
+        v = list(w)
+        for _ in range(rng.randint(1, 12)):
+            v[rng.randrange(len(v))] = "yy%d" % rng.randrange(9999)
+        rows.append((len(rows) + 100, " ".join(v), "en", "a"))
+    docs = documents(spark, rows)
+    sets = ngram_join._sets(docs, 5, 24 * 8).withColumn("node", F.col("doc_id"))
+    tries = ngram_join._tries(sets, 24, 8, 5)
+    sig = {r["node"]: r["sig"] for r in sets.collect()}
+    prefix = lambda i, t, d: sig[i][t * 32 : t * 32 + 4 * d]
+    for r in tries.collect():
+        for d in range(5, 9):
+            assert r[f"n{d}"] == sum(prefix(i, r["tree"], d) == prefix(r["node"], r["tree"], d) for i in sig)
+    depths = {r["depth"] for r in ngram_join._depths(tries, 0.8, 24, 8, 5, 0.999).collect()}
+    assert len(depths) > 1
+    got = {r["doc_id"]: r["n_texts"] for r in ngram_join.ngram_join(docs).collect()}
+    full = {i: shingles(t) for i, t, *_ in rows}
+    want = {i: sum(jaccard(s, t) >= 0.8 - 1e-9 for t in full.values() if t != s) for i, s in full.items()}
+    assert sum(got.values()) >= 0.95 * sum(want.values()) and all(got[i] <= n for i, n in want.items())
+
+
+def test_one_doc_id_with_two_texts(spark):
+    a, b = near_corpus()[0][1], near_corpus()[8][1]
+    rows = [(5, a, "en", "a"), (5, b, "en", "a"), (5, b, "de", "b"), (7, a.replace(a.split()[70], "zz", 1), "en", "a"), (9, b.replace(b.split()[70], "zz", 1), "en", "a")]
+    got = sorted(tuple(r) for r in ngram_join.ngram_join(documents(spark, rows)).collect())
+    assert got == sorted([(5, 5, 1, 1, 1), (5, 5, 2, 1, 2), (5, 5, 2, 1, 2), (7, 5, 1, 1, 1), (9, 5, 2, 1, 1)])
+    stay = ngram_join.ngram_stage(documents(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["text"], r["lang"]) for r in stay) == sorted([(5, a, "en"), (5, b, "de")])
+
+
+def test_intersections():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 300, 80).astype(np.uint64)) for _ in range(9)]
     got = ngram_join.intersections(sets)
@@ -298,20 +341,20 @@ def test_classifier_and_language_awkward(spark):
     assert none[0]["lang_pred"] == "und"
 
 
-def test_code_lengths_equal_brute_force():
-    texts = {"a": ["the cat sat", "the dog"], "b": ["le chat est là", "chat"]}
-    trees = language_id.ContextTrees(texts)
+def test_code_lengths_equal_brute_force(monkeypatch):
+    texts = {"a": ["the cat sat", "the dog", ""], "b": ["le chat est là", "chat  noir"]}
+    trees = language_id.ContextTrees.of(texts)
+    order, pad = language_id.ORDER, lambda t: b" " * language_id.ORDER + t.encode() + b" "
 
-    def bits(word, lang):
+    def bits(text, lang):
         n = collections.defaultdict(collections.Counter)
-        for w in (w for t in texts[lang] for w in t.encode().split(b" ")):
-            b = b" " + w + b" "
-            for p in range(1, len(b)):
-                for k in range(min(language_id.ORDER, p) + 1):
+        for b in map(pad, texts[lang]):
+            for p in range(order, len(b)):
+                for k in range(order + 1):
                     n[k, b[p - k : p]][b[p]] += 1
-        b, out = b" " + word.encode() + b" ", 0.0
-        for p in range(1, len(b)):
-            for k in range(min(language_id.ORDER, p), -1, -1):
+        b, out = pad(text), 0.0
+        for p in range(order, len(b)):
+            for k in range(order, -1, -1):
                 c = n.get((k, b[p - k : p]))
                 if c and b[p] in c:
                     out -= math.log2(c[b[p]] / (c.total() + len(c)))
@@ -322,9 +365,25 @@ def test_code_lengths_equal_brute_force():
                 out += 8
         return out
 
-    todo = ["cat", "chat", "zebra", "thé", "", "dogdogdog"]
-    got = trees.word_costs([w.encode() for w in todo])
-    assert np.allclose(got, [[bits(w, x) for x in "ab"] for w in todo], atol=1e-3)
+    rng = random.Random(1)
+    todo = ["cat", "the chat sat là", "zebra", "thé a b  c", "", " ", "dogdogdog the", "\x00\x00 a\x00", "\n\tcat\n"] + ["".join(rng.choice("the cat\0é ") for _ in range(40)) for _ in range(20)]
+    want = [[bits(t, x) for x in "ab"] for t in todo]
+    assert np.allclose(language_id.Scorer(trees).lengths(todo), want)
+    monkeypatch.setattr(language_id, "KNOWN", 1)
+    scorer = language_id.Scorer(trees)
+    assert np.allclose([scorer.lengths([t])[0] for t in todo], want)
+
+
+def test_every_language_has_a_tree_and_held_out_texts_are_named(spark):
+    rng = random.Random(9)
+    sounds = {f"l{i:02d}": [rng.choice("bcdfgklmnprst") + rng.choice("aeiouäöü") for _ in range(6)] for i in range(70)}
+    say = lambda g: " ".join("".join(rng.choice(sounds[g]) for _ in range(rng.randint(1, 4))) for _ in range(60))
+    docs = [(len(sounds) * k + i, say(g), g, "a") for k in range(8) for i, g in enumerate(sounds)]
+    got = {r["doc_id"]: r for r in language_id.language_id(documents(spark, docs)).collect()}
+    held = [(i, g) for i, _, g, _ in docs if got[i]["held_out"]]
+    assert len(held) > 80 and np.mean([got[i]["lang_pred"] == g for i, g in held]) > 0.95
+    tie = language_id.Scorer(language_id.ContextTrees.of({"y": ["ab ab"], "x": ["ab ab"]}))
+    assert language_id.predict(tie, ["ab", "12", None]) == (["x", "und", "und"], [0.5, 0.0, 0.0])
 
 
 # 6 urls
