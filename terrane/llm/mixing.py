@@ -3,7 +3,7 @@
 Every source has a weight and a rate that changes over training time t in
 [0, 1]: rate(t) = r0 + (2 - 2 r0) t, whose integral is 1, so that the source
 still gives its whole target.  A source's documents stand in a fixed order (by
-a hash of doc_id); a document's words lie at [a, a + size) in it, once per
+a hash of doc_id and text); a document's words lie at [a, a + size) in it, once per
 epoch.  The cumulative demand of a source at time t is target * G(t) with
 G(t) = r0 t + (1 - r0) t^2; inverting it at the words' place gives the training
 position of each copy, and documents are range-sorted by position.
@@ -14,7 +14,7 @@ level L with sum(min(cap, weight * L)) = total, found by one running sum over
 sources in the order of cap / weight.
 
 Scale: prefix sums run in two levels, inside (source, bucket) and over bucket
-totals, so no task holds a source.  The table of bucket sums has `buckets` rows
+totals, so no task holds a source, and their number grows with the table.  The table of bucket sums has `buckets` rows
 per source; Spark broadcasts it only if its files are below the session's
 threshold, else it is joined by shuffle.
 
@@ -29,12 +29,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrane.llm.common import n_words, source_key, words
+from terrane.llm.common import BLANK, WORD, n_words, source_key
 from terrane.sources.workspace import materialise
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Rates at t = 0 of the sources with these weights: the first falls, the last rises.
 RATES = (1.5, 1.0, 0.5)
+BUCKET_ROWS = 100_000
 
 
 def mix_targets(sizes: DataFrame, weights=WEIGHTS, rates=RATES, max_epochs: int = 3) -> DataFrame:
@@ -67,8 +68,13 @@ def mix_plan(sized: DataFrame, weights=WEIGHTS, rates=RATES, max_epochs: int = 3
     return materialise(plan.join(totals.drop("source"), "__key"), "plan")
 
 
+def _buckets(docs: DataFrame) -> int:
+    """Buckets for a source's prefix sums: about `BUCKET_ROWS` rows in each, however large the table."""
+    return max(256, docs.count() // BUCKET_ROWS)
+
+
 def _sized(docs: DataFrame, buckets: int) -> DataFrame:
-    out = docs.withColumn("__key", source_key(F.col("source"))).withColumn("__h", F.xxhash64(F.lit(7), "doc_id"))
+    out = docs.withColumn("__key", source_key(F.col("source"))).withColumn("__h", F.xxhash64(F.lit(7), "doc_id", "text"))
     return out.withColumn("__b", F.pmod("__h", F.lit(buckets)).cast("int"))
 
 
@@ -89,33 +95,35 @@ def _taken(sized: DataFrame, plan: DataFrame) -> DataFrame:
     return out.withColumn("positions", F.transform("__parts", lambda x, c: at(share(c))))
 
 
-def curriculum_mix(docs: DataFrame, weights=WEIGHTS, rates=RATES, max_epochs: int = 3, buckets: int = 256) -> DataFrame:
+def curriculum_mix(docs: DataFrame, weights=WEIGHTS, rates=RATES, max_epochs: int = 3, buckets: int | None = None) -> DataFrame:
     """`(doc_id, size, source_size, target, taken, position, positions)` of every document, sorted by position.
 
     `position` is the training time of the first copy, null for a document that
     the mix does not take; `positions` has one entry per copy.
     """
-    sized = materialise(_sized(docs.select("doc_id", "source", n_words(F.col("text")).alias("__size")), buckets), "sizes")
+    sized = _sized(docs, buckets or _buckets(docs)).select("doc_id", "__key", "source", "__h", "__b", n_words(F.col("text")).alias("__size"))
+    sized = materialise(sized, "sizes")
     out = _taken(sized, mix_plan(sized, weights, rates, max_epochs))
     out = out.select("doc_id", F.col("__size").alias("size"), "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("position"), "positions", "__h")
     return out.orderBy(F.col("position").asc_nulls_last(), "__h", "doc_id").drop("__h")
 
 
-def curriculum_stage(docs: DataFrame, weights=WEIGHTS, rates=RATES, max_epochs: int = 3, buckets: int = 256) -> DataFrame:
+def curriculum_stage(docs: DataFrame, weights=WEIGHTS, rates=RATES, max_epochs: int = 3, buckets: int | None = None) -> DataFrame:
     """The mixed corpus: the input's columns, one row per copy taken, in training order.
 
-    A copy of which the mix takes only some words is cut to its first words;
-    where `n_chars` is a column it is set anew for such a copy.
+    A copy of which the mix takes only some words is cut at the end of its last
+    word taken, with its white space as it was; where `n_chars` is a column it is set anew for such a copy.
     """
     cols = docs.columns
-    sized = _sized(docs, buckets).withColumn("__size", n_words(F.col("text")))
+    sized = _sized(docs, buckets or _buckets(docs)).withColumn("__size", n_words(F.col("text")))
     plan = mix_plan(sized.select("__key", "source", "__b", "__size"), weights, rates, max_epochs)
     clash = [c for c in ("source_size", "target", "rate", "taken", "positions") if c in cols]
     kept = sized.withColumnsRenamed({c: f"__in_{c}" for c in clash})
     out = _taken(kept, plan).select(*[f"__in_{c}" if c in clash else c for c in cols], "__size", "__h", F.explode(F.arrays_zip("__parts", "positions")).alias("__copy"))
     out = out.orderBy("__copy.positions", "__h", "doc_id").withColumnsRenamed({f"__in_{c}": c for c in clash})
     cut = F.col("__copy.__parts") < F.col("__size")
-    text = F.when(cut, F.array_join(F.slice(words(F.col("text")), F.lit(1), F.col("__copy.__parts").cast("int")), " ")).otherwise(F.col("text"))
+    spaced = F.regexp_extract_all("text", F.lit(f"([{BLANK}]*{WORD})"), F.lit(1))  # each word with the blanks before it
+    text = F.when(cut, F.array_join(F.slice(spaced, F.lit(1), F.col("__copy.__parts").cast("int")), "")).otherwise(F.col("text"))
     out = out.withColumn("__text", text)
     if "n_chars" in cols:
         out = out.withColumn("n_chars", F.when(cut, F.char_length("__text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

@@ -15,17 +15,25 @@ Targets default to the sources' own shares of all tokens, which every window
 can hold to the end; with other weights a source ends when its queue is empty
 and windows hold the targets of the rest.
 
-A queue's order is (input partition, row in it).  Tokenizing gives every row
-its place among its partition's rows of the same source; partition totals give
-the partition's place.  Token ids are written once to the shared folder (two
+With `ordered`, the rows' files and places in them give an order (a curriculum's
+positions, say), and the stream is packed in time slices: runs of `SLICE`
+rows of a file, files by name.  A slice's targets are its own sources' shares,
+so that windows follow targets that change along the order; a slice serves all
+its tokens, so no credit is left over at its end, and sequences go on over it.
+Without it there is one slice.
+
+A queue's order is (input partition, row in it), or the rows' order.
+Tokenizing gives every row its place among its task's rows of the same slice
+and source; totals of tasks give the task's place.  Token ids are written once to the shared folder (two
 bytes each) and read back; they are never shuffled.  Words are cut at ASCII
 white space, which no token of this vocabulary spans, so each different word is
 encoded once per worker (above `KNOWN` words, those met less than twice are
 forgotten).
 
-Scale: the driver holds one row per source; the table of partition offsets has
-one row per (partition, source) and is broadcast only below the session's
-limit.  A piece costs time in proportion to the number of sources.
+Scale: the driver holds one number, the total; the table of offsets has one row
+per (slice, task, source) with the slice's totals by source, and is broadcast
+only below the session's limit.  A piece costs time in proportion to the number
+of sources in its slice.
 
 Defined cases: a null or empty text is the one id `end`; a null source is a
 queue of its own, the last; repeated rows are packed each; an empty table gives
@@ -47,6 +55,7 @@ from terrane.sources.workspace import materialise
 
 LENGTH = 4096
 WINDOW = 16 * LENGTH
+SLICE = 20_000
 END = 2
 KNOWN = 900_000
 _encoders: dict[str, WordEncoder] = {}
@@ -171,57 +180,87 @@ def sequence_cuts(total: int, length: int) -> list[int]:
     return [*cuts, total]
 
 
-def _tokenize(docs: DataFrame, path: str) -> DataFrame:
+def _tokenize(docs: DataFrame, path: str, ordered: bool) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, before, part_id = WordEncoder.of(path), {}, TaskContext.get().partitionId()
+        encoder, before, first, part_id = WordEncoder.of(path), {}, {}, TaskContext.get().partitionId()
         for batch in batches:
             for i in range(0, batch.num_rows, 200):
                 part = batch.slice(i, 200)
                 ids = encoder(part.column("text").to_pylist())
-                keys, at = part.column("key").to_pylist(), []
-                for k, x in zip(keys, ids):
-                    at.append(before.get(k, 0))
-                    before[k] = at[-1] + len(x)
+                row = part.column("row").to_pylist() if ordered else [part_id] * len(ids)
+                where, parts, at = [], [], []
+                # of a slice's and a source's rows in this task, the first one's place names the part
+                for f, k, r, x in zip(part.column("file").to_pylist(), part.column("key").to_pylist(), row, ids):
+                    where.append(r // SLICE if ordered else 0)
+                    of = (f, where[-1], k)
+                    parts.append(first.setdefault(of, r))
+                    at.append(before.get(of, 0))
+                    before[of] = at[-1] + len(x)
                 n = pa.array([len(x) for x in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array([part_id] * len(ids), pa.int32()), pa.array(at, pa.int64()), n, pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "key", "part", "at", "n", "ids"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("file"), pa.array(where, pa.int64()), part.column("key"), pa.array(parts, pa.int64()), pa.array(at, pa.int64()), n, pa.array([x.tobytes() for x in ids], pa.binary())],
+                    ["doc_id", "file", "slice", "key", "part", "at", "n", "ids"],
+                )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", source_key(F.col("source")).alias("key"), "text").mapInArrow(run, f"doc_id {kind}, key string, part int, at bigint, n bigint, ids binary")
+    place = ("_metadata.file_name", "_metadata.row_index") if ordered else (F.lit(""), F.lit(0).cast("long"))
+    rows = docs.select("doc_id", source_key(F.col("source")).alias("key"), "text", *[(F.col(c) if ordered else c).alias(x) for c, x in zip(place, ("file", "row"))])
+    return rows.mapInArrow(run, f"doc_id {kind}, file string, slice bigint, key string, part bigint, at bigint, n bigint, ids binary")
+
+
+def _offsets(tokens: DataFrame) -> DataFrame:
+    """`file, slice, key, part, before, base, queues`: tokens before the part in its queue, tokens before the slice in the stream, and the slice's queues in order."""
+    sums = materialise(tokens.groupBy("file", "slice", "key", "part").agg(F.sum("n").alias("n")), "sums")
+    queue = Window.partitionBy("file", "slice", "key").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    parts = sums.select("file", "slice", "key", "part", (F.sum("n").over(queue) - F.col("n")).alias("before"))
+    of = F.struct((F.col("key") == "").alias("none"), F.col("key"), F.col("n"))
+    slices = sums.groupBy("file", "slice", "key").agg(F.sum("n").alias("n")).groupBy("file", "slice").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(of)).alias("queues"))
+    stream = Window.orderBy("file", "slice").rowsBetween(Window.unboundedPreceding, 0)
+    slices = slices.select("file", "slice", (F.sum("n").over(stream) - F.col("n")).alias("base"), F.transform("queues", lambda q: F.struct(q["key"].alias("key"), q["n"].alias("n"))).alias("queues"))
+    return materialise(parts.join(slices, ["file", "slice"]), "offsets")
+
+
+def _schedule(queues: list[dict], weights: dict[str | None, float] | None, window: int) -> tuple[Schedule, dict[str, int]]:
+    """A slice's schedule, and the number of each source in it."""
+    keys, totals = [q["key"] for q in queues], [q["n"] for q in queues]
+    if weights is None:
+        share = [t / sum(totals) for t in totals]
+    else:
+        named = [float(weights.get(k[1:] if k else None, 0.0)) for k in keys]
+        least = min((x for x in named if x > 0), default=1.0)
+        named = [x if x > 0 else least for x in named]
+        share = [x / sum(named) for x in named]
+    return Schedule(totals, [window * x for x in share]), {k: i for i, k in enumerate(keys)}
 
 
-def pack(docs: DataFrame, path: str, weights: dict[str | None, float] | None = None, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
+def pack(docs: DataFrame, path: str, weights: dict[str | None, float] | None = None, length: int = LENGTH, window: int = WINDOW, ordered: bool = False) -> DataFrame:
     """One row per piece: `doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`.
 
     `weights` maps sources to target proportions (default: their own shares;
     sources that are not named get 0, and are served at the pace of the least).
+    `ordered` packs in time slices along the rows' order; `docs` must then be
+    Parquet files as read.
     """
-    tokens = materialise(_tokenize(docs, path), "tokens")
-    sums = materialise(tokens.groupBy("key", "part").agg(F.sum("n").alias("n")), "sums")
-    w = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
-    offsets = materialise(sums.select("key", "part", (F.sum("n").over(w) - F.col("n")).alias("before")), "offsets")
-    queues = {r["key"]: r["n"] for r in sums.groupBy("key").agg(F.sum("n").alias("n")).collect()}
-    order = sorted(queues, key=lambda k: (k == "", k.encode()))
-    total = sum(queues.values())
-    if weights is None:
-        share = [queues[k] / total for k in order]
-    else:
-        named = [float(weights.get(k[1:] if k else None, 0.0)) for k in order]
-        least = min((x for x in named if x > 0), default=1.0)
-        named = [x if x > 0 else least for x in named]
-        share = [x / sum(named) for x in named]
-    plan = Schedule([queues[k] for k in order], [window * x for x in share])
-    at, cuts = {k: i for i, k in enumerate(order)}, sequence_cuts(total, length)
+    tokens = materialise(_tokenize(docs, path, ordered), "tokens")
+    offsets = _offsets(tokens)
+    total = offsets.select("file", "slice", "base", F.expr("aggregate(queues, 0L, (s, q) -> s + q.n)").alias("n")).agg(F.max(F.col("base") + F.col("n")).alias("n")).first()["n"] or 0
+    cuts = sequence_cuts(total, length)
     whole = cuts[0]
 
     def run(batches):
         ends = np.array(cuts)
+        now, plan, number = None, None, {}
         for batch in batches:
             rows = []
-            for doc, key, base, n, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "base", "n", "ids"))):
+            queues = batch.column("queues")
+            for r, (doc, slice_, key, base, at, n, ids) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "name", "key", "base", "at", "n", "ids")))):
+                if slice_ != now:
+                    now, (plan, number) = slice_, _schedule(queues[r].as_py(), weights, window)
                 wide = np.frombuffer(ids, np.uint16).astype("<u4")
-                for start, size, place in plan.pieces(at[key], base, base + n):
+                for start, size, place in plan.pieces(number[key], at, at + n):
+                    place += base
                     while size:
                         if place < whole:
                             sequence, offset, room = place // length, place % length, length - place % length
@@ -235,7 +274,8 @@ def pack(docs: DataFrame, path: str, weights: dict[str | None, float] | None = N
 
     out = pa.schema([("doc_id", _arrow(docs)), *((c, pa.int64()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"))])
     kind = docs.schema["doc_id"].dataType.simpleString()
-    ready = tokens.join(offsets, ["key", "part"]).select("doc_id", "key", (F.col("before") + F.col("at")).alias("base"), "n", "ids")
+    name = F.concat_ws("/", "file", "slice").alias("name")
+    ready = tokens.join(offsets, ["file", "slice", "key", "part"]).select("doc_id", name, "key", "base", (F.col("before") + F.col("at")).alias("at"), "n", "ids", "queues")
     return ready.mapInArrow(run, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
 
 

@@ -295,6 +295,40 @@ def test_windows_hold_the_mix(spark):
     assert full and all(abs(w[True] - share * 8192) <= 3 for w in full)
 
 
+def test_ordered_packing_follows_the_curriculum(spark, tmp_path, monkeypatch):
+    docs = [(i, prose(i, 120), "en", "abc"[i % 3]) for i in range(900)]
+    d = documents(spark, docs)
+    mixing.curriculum_stage(d).write.parquet(str(tmp_path / "mixed"))
+    mixed = spark.read.parquet(str(tmp_path / "mixed"))
+    monkeypatch.setattr(packing, "SLICE", 100)
+    monkeypatch.setattr(packing, "WINDOW", 8192)
+    rows = packing.pack(mixed, BPE, window=8192, ordered=True).collect()
+    last = max(r["sequence_id"] for r in rows)
+    shares = []
+    for low, high in ((0, 0.25), (0.75, 1)):
+        n = collections.Counter()
+        for r in rows:
+            if low * last <= r["sequence_id"] <= high * last:
+                n["abc"[r["doc_id"] % 3]] += r["length"]
+        shares.append([n[s] / n.total() for s in "abc"])
+    plan = mixing.curriculum_mix(d).collect()
+    for (low, high), got in zip(((0, 0.25), (0.75, 1)), shares):
+        want = collections.Counter()
+        for r in plan:
+            want["abc"[r["doc_id"] % 3]] += sum(low <= x <= high for x in r["positions"])
+        assert all(abs(g - want[s] / want.total()) < 0.06 for g, s in zip(got, "abc")), (shares, want)
+    assert shares[0][0] > shares[1][0] + 0.1 and shares[0][2] < shares[1][2] - 0.1
+    places = collections.defaultdict(list)
+    for r in rows:
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    for s in places.values():
+        at = 0
+        for offset, length in sorted(s):
+            assert offset == at
+            at += length
+        assert at == 4096 or at & (at - 1) == 0
+
+
 def test_word_encoder_on_odd_texts(monkeypatch):
     monkeypatch.setattr(packing, "KNOWN", 40)
     e, tok, rng = packing.WordEncoder(BPE), Tokenizer.from_file(BPE), random.Random(1)
@@ -468,6 +502,8 @@ def test_mixing_stage(spark):
         got[r["doc_id"]] += len(words(r["text"]))
         assert r["n_chars"] == len(r["text"]) and r["taken"] == "z" and r["size"] == 1
     assert out.columns == d.columns and got == {k: v for k, v in plan.items() if v}
+    text = {i: t for i, t, *_ in docs}
+    assert all(text[r["doc_id"]].startswith(r["text"]) for r in out.collect())  # cut copies keep their line breaks
 
 
 # 9 fingerprints
