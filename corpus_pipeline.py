@@ -38,8 +38,8 @@ def mix(spark, docs, sf_dir):
 
 
 def packing(spark, docs, sf_dir):
-    """Pieces of token sequences."""
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Pieces of token sequences, in time slices along the training order, which the files of the stage before hold."""
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), ordered=bool(docs.inputFiles()))
 
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("n-gram join", near_copies), ("mixing", mix), ("packing", packing)]
