@@ -6,8 +6,8 @@ and of each of their lines, are hash-joined to the digests of known licence
 texts.  Only entire texts or entire lines match.
 
 Scale: canonical forms are made by row with built-in functions and no text is
-shuffled.  A form longer than the longest known one (with room for spellings)
-cannot match and gets no digest, nor does one that begins otherwise than every
+shuffled.  A form longer than the longest known one, by more than its spellings
+can shrink, cannot match and gets no digest, nor does one that begins otherwise than every
 known one.  Digests that match are few; they are grouped
 by document and joined back to the ids.  The table of known digests is a local
 table whose size Spark knows; it is broadcast below the session's limit.
@@ -87,7 +87,8 @@ COPYRIGHT = (
     r"|copyright[\s:,]*(?:\(c\)|©|[0-9]{4}|by\b|[\[<{])|copyright[\s:,]+(?:the [^.]*\b(?:authors|contributors)|[^.]*\b(?:inc|llc|ltd|gmbh|corporation))[^\p{L}\p{N}]*$)"
 )
 REST = r"[^\p{L}\p{N}]+"
-ROOM = 64
+#: A form is at most this many times as long as with its spellings replaced.
+ROOM = max(1.0, *(len(a) / len(b) for a, b in SPELLINGS.items()))
 #: The first HEAD characters of a form with its spellings replaced depend on its first CUT only.
 HEAD, CUT = 24, 96
 
@@ -117,7 +118,7 @@ def _head(form: Column) -> Column:
 
 def _digest(form: Column, longest: int, heads: list[str]) -> Column:
     """SHA-256 of a form with its spellings replaced; null if it is empty, too long or begins otherwise than all of `heads`."""
-    return F.when((F.length(form) > 0) & (F.length(form) <= longest + ROOM), F.when(_head(form).isin(heads), F.sha2(_form(form), 256)))
+    return F.when((F.length(form) > 0) & (F.length(form) <= longest), F.when(_head(form).isin(heads), F.sha2(_form(form), 256)))
 
 
 def _whole(lines: Column) -> Column:
@@ -127,10 +128,10 @@ def _whole(lines: Column) -> Column:
 def license_scan(docs: DataFrame, licenses: dict[str, list[str]] = LICENSES) -> DataFrame:
     """`doc_id, licenses, n_lines, whole` of every document: the licences found (sorted, joined by commas; null if none), lines that state one, and whether the whole text is one."""
     spark = docs.sparkSession
-    longest = max((len(t) for ts in licenses.values() for t in ts), default=0)
     known = spark.createDataFrame([(k, t) for k, ts in sorted(licenses.items()) for t in ts], "license string, known string")
     known = known.select("license", _whole(canonical_lines(F.col("known"))).alias("form")).where("form <> ''")
-    rows = known.select(F.sha2(_form(F.col("form")), 256).alias("digest"), "license", _head(F.col("form")).alias("head")).collect()  # a row per known text
+    rows = known.select(F.sha2(_form(F.col("form")), 256).alias("digest"), "license", _head(F.col("form")).alias("head"), F.length(_form(F.col("form"))).alias("n")).collect()  # a row per known text
+    longest = int(ROOM * max((r["n"] for r in rows), default=0)) + 1
     heads = sorted({r["head"] for r in rows})
     known = spark.createDataFrame([(r["digest"], r["license"]) for r in rows], "digest string, license string").groupBy("digest").agg(F.min("license").alias("license"))
     units = let(
@@ -152,12 +153,11 @@ def oracle() -> str:
     """The same in DuckDB's SQL."""
     quote = lambda t: "'" + t.replace("'", "''") + "'"
     rows = ", ".join(f"({quote(k)}, {quote(t)})" for k, ts in sorted(LICENSES.items()) for t in ts)
-    longest = max(len(t) for ts in LICENSES.values() for t in ts)
     form = f"CASE WHEN regexp_matches(x, '{COPYRIGHT}') THEN '' ELSE trim(regexp_replace(x, '{REST}', ' ', 'g')) END"
     spelled = "' ' || replace(form, ' ', '  ') || ' '"
     for a, b in SPELLINGS.items():
         spelled = f"replace({spelled}, ' {a.replace(' ', '  ')} ', ' {b} ')"
-    digest = f"CASE WHEN length(form) BETWEEN 1 AND {longest + ROOM} THEN sha256(trim(replace({spelled}, '  ', ' '))) END"
+    digest = f"CASE WHEN length(form) > 0 THEN sha256(trim(replace({spelled}, '  ', ' '))) END"
     return f"""
 WITH texts AS (SELECT doc_id, NULL AS license, list_transform(string_split(lower(coalesce(text, '')), chr(10)), lambda x: {form}) AS lines FROM documents
   UNION ALL SELECT NULL, k, list_transform(string_split(lower(t), chr(10)), lambda x: {form}) FROM (VALUES {rows}) v(k, t)),
