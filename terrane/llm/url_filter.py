@@ -7,7 +7,8 @@ on urls that a rule has labelled.  Features: lengths of url, host and path,
 path depth, digit ratio, entropy of characters, numbers of parameters, host
 labels, hyphens and fragments, scheme, and suffix statistics: the smoothed
 share of blocked urls among the labelled ones with the same last host label,
-and with the same first path segment.
+and with the same first path segment.  A labelled url gets the shares among the
+labelled ones of the other of two folds, so that its own label is not in them.
 
 The fit takes a bounded sample, about `SAMPLE` labelled urls per verdict;
 suffix statistics count all labelled urls.
@@ -90,17 +91,20 @@ def url_features(pages: DataFrame) -> DataFrame:
 
 
 def _rates(labelled: DataFrame, by: str, prior: float = 0.5, weight: float = 4.0) -> DataFrame:
-    rate = (F.count_if(F.col("listed") == "block") + prior * weight) / (F.count(F.lit(1)) + weight)
-    return materialise(labelled.groupBy(by).agg(rate.alias(f"{by}_block")), f"{by}_rates")
+    """`by`, and the smoothed share of blocked urls: of all labelled ones, of fold 1 (for rows of fold 0) and of fold 0."""
+    share = lambda fits: (F.count_if(fits & (F.col("listed") == "block")) + prior * weight) / (F.count_if(fits) + weight)
+    every = {"all": F.lit(True), "0": F.col("__fold") == 1, "1": F.col("__fold") == 0}
+    return materialise(labelled.groupBy(by).agg(*[share(fits).alias(f"{by}_{k}") for k, fits in every.items()]), f"{by}_rates")
 
 
 def url_filter(pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFrame:
     """`page_id, host, path, rule, verdict, block_score` of every page."""
     rule, verdict = listed(F.col("host"), F.col("path"), rules)
-    rows = url_features(pages).withColumns({"rule": rule, "listed": verdict})
+    rows = url_features(pages).withColumns({"rule": rule, "listed": verdict, "__fold": F.pmod(F.xxhash64(F.lit(41), "url"), F.lit(2))})
     labelled = rows.where("listed is not null")
     for by in ("suffix", "first"):
-        rows = rows.join(_rates(labelled, by), by, "left").fillna(0.5, [f"{by}_block"])
+        rate = F.when(F.col("listed").isNull(), F.col(f"{by}_all")).when(F.col("__fold") == 0, F.col(f"{by}_0")).otherwise(F.col(f"{by}_1"))
+        rows = rows.join(_rates(labelled, by), by, "left").withColumn(f"{by}_block", F.coalesce(rate, F.lit(0.5)))
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="__x").transform(rows)
     train = bounded_sample(rows.where("listed is not null"), "listed", "url", sample)
     train = materialise(train.select("__x", (F.col("listed") == "block").cast("double").alias("__y")), "train")

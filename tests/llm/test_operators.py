@@ -647,3 +647,29 @@ def test_full_license_texts(spark):
     assert len(list(folder.glob("*.txt"))) == 13
     for i, (name, whole) in enumerate(want):
         assert got[i]["whole"] == whole and (not whole or name in got[i]["licenses"].split(",")), (i, name)
+
+
+def test_license_longer_by_its_spellings(spark):
+    known = {"A-1.0": [" ".join(["https", "favour"] * 60)], "B-1.0": ["short notice"]}
+    docs = [(1, known["A-1.0"][0], "en", "a"), (2, known["A-1.0"][0].replace("https", "http").replace("favour", "FAVOR,"), "en", "a"), (3, "Short\nnotice.", "en", "a")]
+    got = {r["doc_id"]: (r["licenses"], r["whole"]) for r in license_scan.license_scan(documents(spark, docs), known).collect()}
+    assert got == {1: ("A-1.0", True), 2: ("A-1.0", True), 3: ("B-1.0", True)}
+
+
+def test_url_awkward_rows_and_held_out(spark):
+    rng = random.Random(3)
+    word = lambda bad: "".join(rng.choice("xqzkv0123456789" if bad else "aeilnorst") for _ in range(rng.randint(4, 9)))
+    # rules name two hosts; the words of their subdomains and paths tell the kinds apart on other hosts too
+    tree = [(i, f"http://{word(i % 2)}.{'evil' if i % 2 else 'fine'}.org/{word(i % 2)}/{i}") for i in range(2000)]
+    rules = (("block", "evil.org/"), ("allow", "fine.org/"), ("block", "biz/"), ("allow", "com/"))
+    hidden = [(5000 + i, f"http://{word(i % 2)}.else.org/{word(i % 2)}/{i}") for i in range(400)]
+    odd = [(9000, None), (9000, None), (9001, "http://" + "a" * 200_000 + ".com/x"), (9002, "http://a.com/x"), (9002, "http://b.biz/x"), (None, "http://a.com/")]
+    pages = spark.createDataFrame([(i, u, "h", "p", 1.0, "v", "f", "s") for i, u in tree + hidden + odd], "page_id long, url string, host string, path string, entropy double, verdict string, first string, suffix string")
+    rows = url_filter.url_filter(pages, rules).collect()
+    assert len(rows) == 2406
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r["page_id"]].append((r["rule"], r["verdict"]))
+    assert sorted(by[9002]) == [("biz/", "block"), ("com/", "allow")] and by[9001] == [("com/", "allow")] and by[None] == [("com/", "allow")] and len(by[9000]) == 2
+    right = [by[5000 + i][0][1] == ("block" if i % 2 else "allow") for i in range(400)]
+    assert np.mean(right) > 0.9
