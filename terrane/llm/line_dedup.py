@@ -2,60 +2,96 @@
 
 Lines (split at \\n; those without a word are left alone) that are equal are one
 line.  Two different lines are duplicates if the Jaccard similarity of their
-sets of `SHINGLE`-character shingles (lower case, the line padded by blanks) is
+sets of `SHINGLE`-character shingles (lower case, the end padded by blanks) is
 at least `threshold`.  Of each connected group of duplicates, over all
 documents, the one occurrence with the least (doc_id, place) stays.
 
-* Signatures: `HASHES` minima over all shingles of the line.
-* Banding: 12 bands of 4 of the 24 minima; every minimum is in two bands that
-  share nothing else.  Similarity 0.8 meets in some band with probability 0.998.
-* Verification: exact Jaccard over all shingles of both lines.  In each band
-  group every line is first compared with the group's least line.  After
-  union-find, a line that was not joined is compared with every line of its
-  group that is still in another component, so no candidate pair stays open,
-  yet a group of thousands of copies never becomes pairs.
+* Signatures: `HASHES` minima over all shingles of every line, short or long.
+* Banding: the 16 minima are the points of the affine plane of order 4, and the
+  bands are its 20 lines of four points; two bands share one minimum at most.
+  A pair of similarity 0.8 meets in some band with probability 0.995, one of
+  0.85 with 0.999.
+* Verification is exact, over all shingles of both lines, and comes in rounds
+  with union-find between them, so that joined components drop out.  First
+  every member of a band group meets the group's pivot, the line that shares
+  the most bands with others (of a line and its thousands of variants, mostly
+  the line itself).  Then, in each of `ROUNDS` rounds, members meet their
+  neighbours of another component in the order of their further bands.
+* What is left are members outside their group's largest component.  They meet
+  the rest of the group in one join, whose condition leaves out a pair only
+  where a bound proves it below the threshold: by the sizes of its sets, or by
+  the parities of its shingles in `BITS` buckets (buckets of unlike parity are
+  at most as many as the shingles that one line has and the other has not).
+  So every pair that a band proposes is joined, compared or ruled out by proof;
+  pairs inside a component are never made.
 * Union-find: `connected_components`, rounds of minima and joins.
 
 Scale: equal lines are combined before the first shuffle, so a hot line is one
-row.  Texts are shuffled three times (distinct lines; lines with candidates;
-documents with their decisions), each time after the former shuffle's files are
-released.  Band rows are two longs.
+row.  Texts are shuffled for the distinct lines, for lines with candidates and
+for the documents with their decisions, each time after the former shuffle's
+files are released.  Band rows are a long, a byte and the id.  Every round's
+pairs grow with the members of groups; only the last join's work grows with the
+lines outside their group's largest component times the group, at some 50 ns a
+pair, and what it returns are pairs close to the threshold.
 
 Defined cases: null text stays null; a document none of whose lines with words
-stays is empty (and dropped by the pipeline's stage); equal rows (same doc_id
-and text) count as one document; a null doc_id comes first in the order; other
-columns pass through `line_dedup_stage`.
+stays is empty (and dropped by the pipeline's stage); of equal rows (same doc_id
+and text) one keeps its lines and the others lose all lines with words; a null
+doc_id comes first in the order; other columns pass through `line_dedup_stage`.
 """
 
 from __future__ import annotations
 
+import hashlib
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.functions.expr import let
 from terrane.llm.common import BLANK
 from terrane.operators.graph import connected_components
-from terrane.sources.workspace import materialise
+from terrane.sources.workspace import drop, materialise
 
 SHINGLE = 8
-HASHES = 24
+HASHES = 16
 THRESHOLD = 0.8
-BANDS = [[4 * b + i for i in range(4)] for b in range(6)] + [[b + 6 * i for i in range(4)] for b in range(6)]
+ROUNDS = 1
+BITS = 1024
+#: Shingles hashed in one row of the explosion of a line.
+STEP = 4
 HAS_WORD = f"[^{BLANK}]"
 
 
-def _padded(line: Column) -> Column:
-    return F.concat(F.lit(" "), F.lower(line), F.lit(" " * (SHINGLE - 1)))
+def _plane() -> list[list[int]]:
+    """The 20 lines of the affine plane of order 4: points 4 x + y, lines x = c and y = m x + c over the field of four elements."""
+    double = lambda a: (a << 1) ^ (7 if a & 2 else 0)  # noqa: E731  modulo z^2 + z + 1
+    times = lambda a, b: (b if a & 1 else 0) ^ (double(b) if a & 2 else 0)
+    upright = [[4 * x + y for y in range(4)] for x in range(4)]
+    return upright + [[4 * x + (times(m, x) ^ c) for x in range(4)] for m in range(4) for c in range(4)]
+
+
+BANDS = _plane()
+
+
+def coded_line(line: Column) -> Column:
+    """The padded line, four bytes a character, so that a shingle is a slice at a known place."""
+    return F.encode(F.concat(F.lower(line), F.lit(" " * (SHINGLE - 1))), "UTF-32")
+
 
+def _places(coded: Column) -> Column:
+    return (F.length(coded) / 4 - (SHINGLE - 1)).cast("int")
 
-def every_shingle(line: Column) -> Column:
-    """The shingle at every place of a line."""
-    return F.regexp_extract_all(F.substr(_padded(line), F.lit(2)), F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
+
+def _shingle_at(coded: Column, i: Column) -> Column:
+    """Hash of the shingle at the 0-based place `i`."""
+    return F.xxhash64(F.substring(coded, i * 4 + 1, F.lit(4 * SHINGLE)))
 
 
 def shingles(line: Column) -> Column:
-    """All different shingles of a line."""
-    return F.array_distinct(every_shingle(line))
+    """Hashes of all different shingles of a line."""
+    return let(coded_line(line), lambda b: F.array_distinct(F.transform(F.sequence(F.lit(0), _places(b) - 1), lambda i: _shingle_at(b, i))))
 
 
 def _row_key(docs: DataFrame) -> Column:
@@ -63,48 +99,147 @@ def _row_key(docs: DataFrame) -> Column:
 
 
 def distinct_lines(docs: DataFrame) -> DataFrame:
-    """`id, at, line`: every different line with a word, and its first occurrence at (doc_id, row key, place)."""
+    """`id, at, line`: every different line with a word, and its first occurrence at (doc_id, row key, place); ids are unique numbers."""
     rows = docs.select("doc_id", _row_key(docs).alias("row"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    rows = rows.where(F.col("line").rlike(HAS_WORD)).withColumns({"id": F.xxhash64("line"), "id2": F.xxhash64(F.lit(5), "line")})
+    rows = rows.where(F.col("line").rlike(HAS_WORD)).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(5), "line")})
     first = F.min(F.struct("doc_id", "row", "pos")).alias("at")
-    return materialise(rows.groupBy("id", "id2").agg(first, F.min("line").alias("line")).select("id", "at", "line"), "lines", release=True)
+    rows = rows.groupBy("h1", "h2").agg(first, F.min("line").alias("line"))
+    return materialise(rows.select(F.monotonically_increasing_id().alias("id"), "at", "line"), "lines", release=True)
+
+
+def _minhash(h: Column, g: Column, k: int) -> Column:
+    """The k-th hash of a shingle: one of two 64-bit hashes turned by whole bytes and salted, so that other bits lead in each."""
+    x, turn = (h, g)[k // 8], 8 * (k % 8)
+    x = F.shiftleft(x, turn).bitwiseOR(F.shiftrightunsigned(x, 64 - turn)) if turn else x
+    return x.bitwiseXOR(F.lit(int.from_bytes(hashlib.blake2b(bytes([k]), digest_size=8).digest(), "big", signed=True)))
+
+
+def signatures(lines: DataFrame) -> DataFrame:
+    """`id, m0, m1, ...`: the minima of `HASHES` hashes over all shingles of each line."""
+    coded = lines.select("id", coded_line(F.col("line")).alias("b")).withColumn("n", _places(F.col("b")))
+    rows = coded.select("id", "b", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(STEP))).alias("i"))
+    # past the end, the last shingle again
+    rows = rows.select("id", *[_shingle_at(F.col("b"), F.least(F.col("i") + j, F.col("n") - 1)).alias(f"h{j}") for j in range(STEP)])
+    rows = rows.select("*", *[F.xxhash64(f"h{j}").alias(f"g{j}") for j in range(STEP)])
+    low = lambda k: F.least(*[_minhash(F.col(f"h{j}"), F.col(f"g{j}"), k) for j in range(STEP)])
+    return rows.groupBy("id").agg(*[F.min(low(k)).alias(f"m{k}") for k in range(HASHES)])
 
 
 def _candidates(lines: DataFrame) -> DataFrame:
-    """`band, id, lead`: the members of every band group but its least, the lead."""
-    rows = lines.select("id", F.explode(every_shingle(F.col("line"))).alias("s")).select("id", F.xxhash64("s").alias("h"))
-    low = rows.groupBy("id").agg(*[F.min(F.xxhash64("h", F.lit(k))).alias(f"m{k}") for k in range(HASHES)])
-    bands = low.select("id", F.explode(F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{k}") for k in own]) for b, own in enumerate(BANDS)])).alias("band"))
-    lead = F.min("id").over(Window.partitionBy("band").orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
-    return materialise(bands.select("band", "id", lead.alias("lead")).where("id <> lead"), "candidates", release=True)
+    """`band, id, n`: the members of every band group of at least two lines; n is the group's size, and the band's lowest bits its number."""
+    key = lambda b, own: F.xxhash64(F.lit(b), *[F.col(f"m{k}") for k in own]).bitwiseAND(F.lit(~31)).bitwiseOR(F.lit(b))
+    bands = signatures(lines).select("id", F.explode(F.array(*[key(b, own) for b, own in enumerate(BANDS)])).alias("band")).repartition("band")
+    groups = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return materialise(bands.join(groups.hint("shuffle_hash"), "band").select("band", "id", "n"), "candidates", release=True)
+
 
+def _number(band: Column) -> Column:
+    return band.bitwiseAND(F.lit(31)).cast("int")
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+
+def _of(table: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of `table` with one of `ids`, which are written first, so that the size of their files decides on the join."""
+    ids = materialise(ids.distinct(), "ids")
+    return table.join(ids, "id", "left_semi")
+
+
+def _sets(lines: DataFrame, cand: DataFrame) -> DataFrame:
+    """`id, set`: the shingles of every line in a group."""
+    texts = _of(lines.select("id", "line"), cand.select("id"))
+    return materialise(texts.select("id", shingles(F.col("line")).alias("set")), "sets", release=True)
+
+
+def _marks(sets: DataFrame) -> DataFrame:
+    """`id, size, x0, x1, ...`: the size of a line's set and the parities of its shingles in `BITS` buckets."""
+    rows = sets.select("id", F.explode("set").alias("s"))
+    rows = rows.select("id", F.pmod("s", F.lit(BITS // 64)).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("s", 58).cast("int")).alias("x"))
+    marks = rows.groupBy("id").agg(F.count(F.lit(1)).alias("size"), *[F.bit_xor(F.when(F.col("word") == k, F.col("x")).otherwise(F.lit(0).cast("long"))).alias(f"x{k}") for k in range(BITS // 64)])
+    return materialise(marks, "marks", release=True)
+
+
+def _may_be_near(threshold: float) -> Column:
+    """Whether neither the sizes nor the parities of two lines, columns `.._a` and `.._b`, rule out the threshold."""
+    unlike = reduce(add, [F.bit_count(F.col(f"x{k}_a").bitwiseXOR(F.col(f"x{k}_b"))) for k in range(BITS // 64)])
+    sizes = F.least("size_a", "size_b") >= F.lit(threshold) * F.greatest("size_a", "size_b") - 1e-6
+    return sizes & (unlike <= F.lit((1 - threshold) / (1 + threshold)) * (F.col("size_a") + F.col("size_b")) + 1e-6)
+
+
+def _side(marks: DataFrame, side: str) -> DataFrame:
+    return marks.select(*[F.col(c).alias(f"{c}_{side}") for c in marks.columns])
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Those of `pairs` (a, b) whose lines' Jaccard similarity reaches `threshold`."""
-    a, b = (texts.select(F.col("id").alias(x), F.col("line").alias(f"line_{x}")) for x in "ab")
-    both = pairs.join(a, "a").join(b, "b")
-    similar = let(
-        F.struct(shingles(F.col("line_a")).alias("a"), shingles(F.col("line_b")).alias("b")),
-        lambda s: let(F.size(F.array_intersect(s["a"], s["b"])), lambda n: n >= F.lit(threshold) * (F.size(s["a"]) + F.size(s["b"]) - n)),
-    )
-    return materialise(both.where(similar).select("a", "b"), "verified")
+    pairs = materialise(pairs, "pairs")
+    a, b = (_of(sets, pairs.select(F.col(x).alias("id"))).select(F.col("id").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
+    both = pairs.join(a, "a").join(b, "b").withColumn("n", F.size(F.array_intersect("set_a", "set_b")))
+    near = both.where(F.col("n") >= F.lit(threshold) * (F.size("set_a") + F.size("set_b") - F.col("n")))
+    return materialise(near.select("a", "b"), "verified", release=True)
+
+
+def _possible(pairs: DataFrame, marks: DataFrame, threshold: float) -> DataFrame:
+    """Those of `pairs` (a, b) that no bound rules out."""
+    both = pairs.join(_side(marks, "a").withColumnRenamed("id_a", "a"), "a").join(_side(marks, "b").withColumnRenamed("id_b", "b"), "b")
+    return both.where(_may_be_near(threshold)).select("a", "b")
+
+
+def _pivot_pairs(cand: DataFrame) -> DataFrame:
+    """`a, b`: every member of a band group and the group's pivot."""
+    central = cand.groupBy("id").agg(F.sum(F.col("n") - 1).alias("c"))
+    pivots = cand.join(central, "id").groupBy("band").agg(F.max(F.struct("c", "id"))["id"].alias("b"))
+    return cand.select("band", F.col("id").alias("a")).join(pivots, "band").where("a <> b").select("a", "b").distinct()
+
+
+def _open(cand: DataFrame, parts: DataFrame) -> DataFrame:
+    """`band, id, part, loose`: the members of groups that hold several components; loose if not in the group's largest."""
+    known = cand.join(parts.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("component", "id").alias("part"))
+    largest = known.groupBy("band", "part").count().groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("count", "part"))["part"].alias("main"))
+    rows = known.join(largest.where("parts > 1"), "band").select("band", "id", "part", (F.col("part") != F.col("main")).alias("loose"))
+    return materialise(rows, "open")
+
+
+def _neighbours(members: DataFrame, keys: DataFrame, turn: int) -> DataFrame:
+    """`a, b`: members of a group, next or next but one to each other in the order of their other bands, and of different components."""
+    n = len(BANDS)
+    # the member's keys of two further bands; null where it shares the band with no one
+    further = [F.get("keys", F.pmod(_number(F.col("band")) + k, F.lit(n))) for k in (1 + 2 * turn, 2 + 2 * turn)]
+    rows = members.join(keys, "id").select("band", *[k.alias(f"k{i}") for i, k in enumerate(further)], "id", "part")
+    order = ["band", "k0", "k1", "id"]
+    rows = rows.repartitionByRange(*order).withColumn("__task", F.spark_partition_id())
+    over = Window.partitionBy("__task").orderBy(*order)
+    before = [F.lag(F.struct("band", "id", "part"), k).over(over).alias(f"p{k}") for k in (1, 2)]
+    rows = rows.select("band", "id", "part", *before).select("band", "id", "part", F.explode(F.array("p1", "p2")).alias("p"))
+    rows = rows.where("p is not null and p.band = band and p.part <> part")
+    return rows.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
+
+
+def _rest(members: DataFrame, keys: DataFrame, marks: DataFrame, threshold: float) -> DataFrame:
+    """`a, b`: the pairs of different components in a group that no bound rules out, each once."""
+    rows = materialise(members.join(keys, "id").join(marks, "id"), "members")
+    a, b = _side(rows, "a").where("loose_a"), _side(rows, "b")
+    first = F.array_position(F.zip_with("keys_a", "keys_b", lambda x, y: F.coalesce(x == y, F.lit(False))), True) - 1
+    fits = (F.col("part_a") != F.col("part_b")) & (~F.col("loose_b") | (F.col("id_a") < F.col("id_b"))) & _may_be_near(threshold)
+    pairs = a.join(b, (F.col("band_a") == F.col("band_b")) & fits & (first == _number(F.col("band_a"))))
+    return pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
 
 
 def duplicate_lines(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """`node, component` over the ids of lines that have fuzzy duplicates."""
     cand = _candidates(lines)
-    ids = cand.select("id").unionByName(cand.select(F.col("lead").alias("id"))).distinct()
-    texts = materialise(lines.select("id", "line").join(ids.hint("shuffle_hash"), "id"), "texts", release=True)
-    links = _verified(cand.select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct(), texts, threshold)
+    sets = _sets(lines, cand)
+    marks = _marks(sets)
+    keys = cand.groupBy("id").agg(F.array(*[F.max(F.when(_number(F.col("band")) == b, F.col("band"))) for b in range(len(BANDS))]).alias("keys"))
+    keys = materialise(keys, "keys")
+    links = _verified(_possible(_pivot_pairs(cand), marks, threshold), sets, threshold)
     parts = connected_components(links, "a", "b")
-    # members that are not joined to their lead meet all of their group that is in another component
-    label = lambda df, c: df.join(parts.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part")), c, "left").withColumn(f"{c}_part", F.coalesce(f"{c}_part", c))
-    known = materialise(label(label(cand, "id"), "lead"), "labelled")
-    loose = known.where("id_part <> lead_part").select("band", F.col("id").alias("a"), F.col("id_part").alias("a_part"))
-    others = known.select("band", F.col("id").alias("b"), F.col("id_part").alias("b_part"), (F.col("id_part") != F.col("lead_part")).alias("b_loose"))
-    open_ = loose.join(others, "band").where("a_part <> b_part and (not b_loose or a < b)").select("a", "b").distinct()
-    more = _verified(open_, texts, threshold)
-    return connected_components(links.unionByName(more), "a", "b")
+    for turn in range(ROUNDS + 1):
+        members = _open(cand, parts)
+        pairs = _possible(_neighbours(members, keys, turn), marks, threshold) if turn < ROUNDS else _rest(members, keys, marks, threshold)
+        known = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        parts = connected_components(known.unionByName(_verified(pairs, sets, threshold)), "a", "b")
+        drop(members)
+    drop(cand, sets, marks, keys, links)
+    return parts
 
 
 def _decisions(docs: DataFrame, threshold: float) -> DataFrame:
@@ -122,8 +257,10 @@ def _rebuilt(docs: DataFrame, threshold: float) -> DataFrame:
     """The input with `__new`, the text that stays, and `__lines`, `__kept`, its numbers of lines with a word."""
     stay = _decisions(docs, threshold).select(F.col("doc_id").alias("__d"), F.col("row").alias("__row2"), F.col("stay").alias("__stay"))
     rows = docs.withColumn("__row", _row_key(docs))
-    rows = rows.join(stay, (F.col("__row") == F.col("__row2")) & F.col("doc_id").eqNullSafe(F.col("__d")), "left").drop("__d", "__row", "__row2")
-    rows = rows.withColumn("__stay", F.coalesce("__stay", F.array().cast("array<int>")))
+    rows = rows.join(stay, (F.col("__row") == F.col("__row2")) & F.col("doc_id").eqNullSafe(F.col("__d")), "left").drop("__d", "__row2")
+    copy = F.row_number().over(Window.partitionBy("__row", "doc_id").orderBy("__row", "doc_id"))
+    none = F.array().cast("array<int>")
+    rows = rows.withColumn("__stay", F.when(copy == 1, F.coalesce("__stay", none)).otherwise(none)).drop("__row")
     blank = lambda x: F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: ~F.get(x, i).rlike(HAS_WORD))
     made = let(
         F.split("text", "\n"),
