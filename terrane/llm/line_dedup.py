@@ -129,7 +129,8 @@ def _candidates(lines: DataFrame) -> DataFrame:
     """`band, id, n`: the members of every band group of at least two lines; n is the group's size, and the band's lowest bits its number."""
     key = lambda b, own: F.xxhash64(F.lit(b), *[F.col(f"m{k}") for k in own]).bitwiseAND(F.lit(~31)).bitwiseOR(F.lit(b))
     bands = signatures(lines).select("id", F.explode(F.array(*[key(b, own) for b, own in enumerate(BANDS)])).alias("band")).repartition("band")
-    groups = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # least and greatest id, so that both sides read one and the same shuffle of (id, band)
+    groups = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("band", "n")
     return materialise(bands.join(groups.hint("shuffle_hash"), "band").select("band", "id", "n"), "candidates", release=True)
 
 
