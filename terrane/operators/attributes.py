@@ -122,22 +122,32 @@ def heaviest_edges(edges: DataFrame, group: str, k: int) -> DataFrame:
     return edges.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def constant_columns_by(df: DataFrame, by: str, cols: list[str]) -> DataFrame:
+    """`(by, column)`: the columns with one different value in a group, null counted as a value; one aggregate for all groups."""
+    n = df.groupBy(by).agg(*[(F.count_distinct(c) + F.max(F.col(c).isNull().cast("int"))).cast("long").alias(c) for c in cols])
+    return n.unpivot([by], cols, "column", "n").where("n = 1").select(by, "column")
+
+
 def constant_columns(df: DataFrame, cols: list[str]) -> list[str]:
     """Columns with one different value, null counted as a value."""
     if not cols:
         return []
-    row = df.agg(*[(F.count_distinct(c) + F.max(F.col(c).isNull().cast("int"))).alias(c) for c in cols]).first()
-    return [c for c in cols if row[c] == 1]
+    found = {r["column"] for r in constant_columns_by(df.withColumn("__all", F.lit(1)), "__all", cols).collect()}
+    return [c for c in cols if c in found]
 
 
 #: Shares of an area that add up to a constant.
 GEOLOGY = ("area_sediment", "area_calcareous", "area_siliceous")
 
 
+def with_geology(constant: list[str], cols: list[str]) -> list[str]:
+    """The constant columns, and the third geology share where the two others are constant."""
+    for c in GEOLOGY:
+        if c in cols and c not in constant and all(o in constant for o in GEOLOGY if o != c):
+            return [*constant, c]
+    return constant
+
+
 def dropped_columns(df: DataFrame, cols: list[str]) -> list[str]:
     """Constant columns, and the third geology share where the two others are constant."""
-    out = constant_columns(df, cols)
-    for c in GEOLOGY:
-        if c in cols and c not in out and all(o in out for o in GEOLOGY if o != c):
-            return [*out, c]
-    return out
+    return with_geology(constant_columns(df, cols), cols)

@@ -48,11 +48,20 @@ def shared_lengths(polygons: DataFrame, snap: float = SNAP, node: str = "node_id
     return s.withColumnRenamed("node_id", "src").join(other, ["p", "q"]).where("src < dst").groupBy("src", "dst").agg(F.sum("d").alias("shared_length"))
 
 
-def relate_pairs(polygons: DataFrame, cell: float, node: str = "node_id", eps: float = 1e-9) -> DataFrame:
+def mean_side(polygons: DataFrame) -> float:
+    """Mean of the longer sides of the polygons' boxes; 1 where there is none."""
+    box = polygons.select(bbox(F.col("rings")).alias("b"))
+    side = box.agg(F.avg(F.greatest(F.col("b.x1") - F.col("b.x0"), F.col("b.y1") - F.col("b.y0"))).alias("s")).first()["s"]
+    return side if side and side > 0 else 1.0
+
+
+def relate_pairs(polygons: DataFrame, cell: float | None = None, node: str = "node_id", eps: float = 1e-9) -> DataFrame:
     """`(src, dst, interiors, dimension, shared_length)` of polygons whose boxes meet (exact, in coordinate units).
 
-    `cell` is the side of the candidate grid; about a polygon's size is best.
+    `cell` is the side of the candidate grid; by default the mean side of the
+    polygons' boxes, so that a polygon lies in a few cells whatever the unit.
     """
+    cell = cell or mean_side(polygons)
     box = polygons.select(F.col(node).alias("node_id"), "rings").withColumn("b", bbox(F.col("rings")))
     at = lambda c, by: F.floor((F.col(c) + F.lit(by)) / F.lit(cell))
     box = box.withColumn("cx", F.explode(F.sequence(at("b.x0", -eps), at("b.x1", eps)))).withColumn("cy", F.explode(F.sequence(at("b.y0", -eps), at("b.y1", eps))))
@@ -79,6 +88,6 @@ def relate_pairs(polygons: DataFrame, cell: float, node: str = "node_id", eps: f
     return ready.select("src", "dst", "a", "b").mapInArrow(run, "src bigint, dst bigint, interiors boolean, dimension int, shared_length double")
 
 
-def touch_edges(polygons: DataFrame, queen: bool = True, cell: float = 1.0, node: str = "node_id") -> DataFrame:
+def touch_edges(polygons: DataFrame, queen: bool = True, cell: float | None = None, node: str = "node_id") -> DataFrame:
     """`(src, dst)` of polygons whose boundaries meet and interiors do not; without `queen`, in a line and not only in points."""
     return relate_pairs(polygons, cell, node).where(~F.col("interiors") & (F.col("dimension") >= (0 if queen else 1))).select("src", "dst")

@@ -16,7 +16,7 @@ def class_cores(units: DataFrame, membership_cols: list[str], cutoff: float, nod
     return long.where(~F.isnan("u") & (F.col("u") >= cutoff))
 
 
-def core_regions(units: DataFrame, membership_cols: list[str] | None = None, cutoff: float = 0.5, queen: bool = True, edges: DataFrame | None = None, cell: float = 1.0, node: str = "node_id") -> DataFrame:
+def core_regions(units: DataFrame, membership_cols: list[str] | None = None, cutoff: float = 0.5, queen: bool = True, edges: DataFrame | None = None, cell: float | None = None, node: str = "node_id") -> DataFrame:
     """`(cls, node_id, core_region_id)`: for each class the units with membership >= cutoff, their contiguous groups numbered from 1 by least node.
 
     Contiguity is exact touch of `rings` (in a line unless `queen`), or the

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.operators.attributes import dropped_columns, numeric, require
+from terrane.operators.attributes import constant_columns_by, numeric, require, with_geology
 
 #: Covariance families: one or each component's (E, V) volume, shape and orientation.
 FAMILIES = ("EII", "VII", "EEI", "VVI", "EEE", "VVV")
@@ -177,12 +177,16 @@ def river_types(units: DataFrame, cores: DataFrame, membership_cols: list[str],
     require(units, membership_cols)
     cols = numeric(units, (node, *membership_cols, *non_value_cols))
     training = units.join(cores.select(F.col("node_id").alias(node), F.col("cls").alias("region")), node).select("region", *cols)
+    # one job for all classes: a row per class and constant column
+    marked = constant_columns_by(training.withColumn("__there", F.lit(1)), "region", ["__there", *cols])
+    constant: dict[str, set[str]] = {}
+    for r in marked.collect():
+        constant.setdefault(r["region"], set()).add(r["column"])
     variables = {}
     for c in membership_cols:
-        own = training.where(F.col("region") == c)
-        if own.isEmpty():
+        if c not in constant:
             raise ValueError(f"no core units in class {c}")
-        gone = dropped_columns(own, cols)
+        gone = with_geology([v for v in cols if v in constant[c]], cols)
         variables[c] = [v for v in cols if v not in gone]
         if not variables[c]:
             raise ValueError(f"every variable is constant in class {c}")

@@ -114,6 +114,14 @@ def label_distance(labels: DataFrame) -> DataFrame:
     return same.join(F.broadcast(n)).select("a", "b", (1 - F.col("count") / F.col("n")).alias("distance"))
 
 
+def total_distances(labels: DataFrame) -> DataFrame:
+    """`(node_id, total)`: in how many (tree, node) cases another node has another label; matches are counted per (tree, label), so no pairs are made."""
+    sizes = labels.groupBy("tree_id", "label").count()
+    n = labels.select(F.countDistinct("node_id").alias("n"))
+    total = labels.join(sizes, ["tree_id", "label"]).groupBy("node_id").agg(F.sum("count").alias("same"), F.count(F.lit(1)).alias("trees"))
+    return total.join(F.broadcast(n)).select("node_id", (F.col("trees") * F.col("n") - F.col("same")).alias("total"))  # n is one row
+
+
 def mismatches(sig: np.ndarray) -> np.ndarray:
     """Numbers of columns in which each two rows differ."""
     out = np.zeros((len(sig), len(sig)), np.uint16)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -170,12 +171,13 @@ def hamming_labels(spark, sf_dir):
 @query(f"""WITH {LABELS_SQL}, s AS (SELECT a.node_id, count(*) AS same FROM l a JOIN l b ON a.tree_id = b.tree_id AND a.label = b.label GROUP BY 1)
 SELECT node_id, 64 * (SELECT count(*) FROM embeddings) - same AS total FROM s ORDER BY total, node_id LIMIT 1""")
 def pam_build_first_medoid(spark, sf_dir):
-    """The node of least total distance: matches are counted per (tree, label), so no pairs are made."""
-    rows = _labels(spark, sf_dir)
-    sizes = rows.groupBy("tree_id", "label").count()
-    n = rows.select(F.countDistinct("node_id").alias("n"))
-    total = rows.join(sizes, ["tree_id", "label"]).groupBy("node_id").agg(F.sum("count").alias("same"), F.count(F.lit(1)).alias("trees"))
-    return total.join(F.broadcast(n)).select("node_id", (F.col("trees") * F.col("n") - F.col("same")).alias("total")).orderBy("total", "node_id").limit(1)
+    """The one medoid that `pam` finds, and its total distance."""
+    rows = materialise(_labels(spark, sf_dir), "labels")
+    vector = F.transform(F.array_sort(F.collect_list(F.struct("tree_id", "label"))), lambda x: x["label"])
+    vectors = rows.groupBy("node_id").agg(vector.alias("v")).orderBy("node_id").toArrow()
+    sig = np.array(vectors.column("v").to_pylist(), np.int32)
+    medoid = vectors.column("node_id")[regionalise.pam(regionalise.mismatches(sig), np.ones(len(sig)), 1)[0]].as_py()
+    return regionalise.total_distances(rows).where(F.col("node_id") == medoid)
 
 
 @query(f"""WITH {LABELS_SQL}, d AS (SELECT a.node_id, CAST(b.node_id + 1 AS INT) AS medoid, count(*) FILTER (a.label <> b.label) / 64.0::DOUBLE AS d FROM l a JOIN l b ON a.tree_id = b.tree_id AND b.node_id < 3 GROUP BY 1, 2),
@@ -229,7 +231,10 @@ def ternary_coordinates(spark, sf_dir):
     return present.barycentric(_three(spark, sf_dir), ["a", "b", "c"]).select("node_id", *r6("left", "top", "right"))
 
 
-@query()
+@query(f"""WITH {THREE_SQL}, s AS (SELECT node_id, a / nullif(a + b + c, 0) AS l, b / nullif(a + b + c, 0) AS t, c / nullif(a + b + c, 0) AS r FROM t),
+p AS (SELECT node_id, l - (t + r) / 2 AS x, (t - r) * 0.8660254037844386::DOUBLE AS y FROM s), f AS (SELECT *, sqrt(x * x + y * y) AS far FROM p),
+h AS (SELECT node_id, x, [floor(greatest(0.0, least(1.0, 0.8::DOUBLE - 0.4::DOUBLE * (1 - far) / 2 + 0.2::DOUBLE * far * cos(atan2(y, x) - turn))) * 255 + 0.5)::INT FOR turn IN [0.0::DOUBLE, 2.0943951023931953::DOUBLE, 4.1887902047863905::DOUBLE]] AS v FROM f)
+SELECT node_id, CASE WHEN x IS NOT NULL THEN printf('#%02X%02X%02X', v[1], v[2], v[3]) END AS tric_color FROM h""")
 def ternary_colors(spark, sf_dir):
     return present.ternary_color(_three(spark, sf_dir), ["a", "b", "c"]).select("node_id", "tric_color")
 
@@ -246,14 +251,13 @@ def core_regions(spark, sf_dir):
     return cores.core_regions(m, ["X1", "X2", "X3"], 0.5)
 
 
-@query("""WITH c AS (SELECT 'l_linenumber' AS "column", l_returnflag AS region, count(DISTINCT l_linenumber) + max((l_linenumber IS NULL)::INT) AS n FROM lineitem WHERE l_linenumber = 1 GROUP BY 2
-  UNION ALL SELECT 'l_quantity', l_returnflag, count(DISTINCT l_quantity) + max((l_quantity IS NULL)::INT) FROM lineitem WHERE l_linenumber = 1 GROUP BY 2)
+@query("""WITH l AS (SELECT l_returnflag AS region, l_quantity, l_linestatus, (l_returnflag = 'N')::INT AS still_open, CASE WHEN l_returnflag = 'R' THEN l_tax END AS tax_back FROM lineitem),
+c AS (SELECT region, unnest(['l_quantity', 'l_linestatus', 'still_open', 'tax_back']) AS "column",
+  unnest([count(DISTINCT l_quantity) + max((l_quantity IS NULL)::INT), count(DISTINCT l_linestatus) + max((l_linestatus IS NULL)::INT), count(DISTINCT still_open) + max((still_open IS NULL)::INT), count(DISTINCT tax_back) + max((tax_back IS NULL)::INT)]) AS n FROM l GROUP BY region)
 SELECT region, "column" FROM c WHERE n = 1""")
 def constant_columns(spark, sf_dir):
-    first = read(spark, sf_dir, "lineitem").where("l_linenumber = 1")
-    cols = ["l_linenumber", "l_quantity"]
-    n = first.groupBy(F.col("l_returnflag").alias("region")).agg(*[(F.count_distinct(c) + F.max(F.col(c).isNull().cast("int"))).alias(c) for c in cols])
-    return n.unpivot(["region"], cols, "column", "n").where("n = 1").select("region", "column")
+    rows = read(spark, sf_dir, "lineitem").withColumns({"still_open": (F.col("l_returnflag") == "N").cast("int"), "tax_back": F.when(F.col("l_returnflag") == "R", F.col("l_tax"))})
+    return A.constant_columns_by(rows.withColumnRenamed("l_returnflag", "region"), "region", ["l_quantity", "l_linestatus", "still_open", "tax_back"])
 
 
 MOMENTS_SQL = "x AS (SELECT vec_id, label, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings), g AS (SELECT label, count(*) AS n, avg(a) AS ma, avg(b) AS mb, var_samp(a) AS saa, covar_samp(a, b) AS sab, var_samp(b) AS sbb FROM x GROUP BY 1)"
