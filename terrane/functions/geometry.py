@@ -66,7 +66,7 @@ def segments(polygons: DataFrame, node: str = "node_id", rings: str = "rings") -
 
 
 def wkb_rings(data: bytes | None) -> list | None:
-    """Rings of a WKB polygon or multi-polygon (2-D), either byte order; None for null."""
+    """Rings of a WKB polygon or multi-polygon, either byte order; None for null.  Z, M and SRID, ISO or extended, are read over."""
     if data is None:
         return None
     at = 0
@@ -82,21 +82,26 @@ def wkb_rings(data: bytes | None) -> list | None:
         order = "<" if data[at] == 1 else ">"
         at += 1
         (kind,) = take("I")
+        if kind & 0x20000000:
+            take("I")  # SRID
+        plain, more = kind & 0x1FFFFFFF, bool(kind & 0x80000000) + bool(kind & 0x40000000)
+        more += {0: 0, 1: 1, 2: 1, 3: 2}.get(plain // 1000, 0)
+        kind = plain % 1000
         (n,) = take("I")
         if kind == 6:
             return [r for _ in range(n) for r in geometry()]
         if kind != 3:
             raise ValueError(f"WKB type {kind} is neither a polygon nor a multi-polygon")
-        return [_ring(take) for _ in range(n)]
+        return [_ring(take, 2 + more) for _ in range(n)]
 
     order = "<"
     return geometry()
 
 
-def _ring(take) -> list:
+def _ring(take, width: int) -> list:
     (n,) = take("I")
-    flat = take(f"{2 * n}d")
-    points = [{"x": flat[i], "y": flat[i + 1]} for i in range(0, 2 * n, 2)]
+    flat = take(f"{width * n}d")
+    points = [{"x": flat[i], "y": flat[i + 1]} for i in range(0, width * n, width)]
     return points[:-1] if n > 1 and points[0] == points[-1] else points
 
 

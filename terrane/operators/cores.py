@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,9 @@ from terrane.operators.contiguity import touch_edges
 from terrane.operators.graph import connected_components
 
 
+_log = logging.getLogger(__name__)
+
+
 def class_cores(units: DataFrame, membership_cols: list[str], cutoff: float, node: str = "node_id") -> DataFrame:
     """`(cls, node_id, u)` of the memberships that reach the cutoff; missing ones do not."""
     long = units.select(F.col(node).alias("node_id"), *[F.col(c).cast("double") for c in membership_cols]).unpivot(["node_id"], membership_cols, "cls", "u")
@@ -42,3 +47,19 @@ def core_regions(units: DataFrame, membership_cols: list[str] | None = None, cut
     first = F.min(number).over(Window.partitionBy("cls", "component"))["node_id"]
     grouped = grouped.withColumn("first", first)
     return grouped.select("cls", "node_id", F.dense_rank().over(Window.partitionBy("cls").orderBy("first")).alias("core_region_id"))
+
+
+def core_polygons(units: DataFrame, cores: DataFrame, membership_cols: list[str], node: str = "node_id", geometry: str = "rings") -> dict[str, DataFrame]:
+    """For each class its core units, whole: the core region's number first, then the units' columns, the geometry last.
+
+    A class without core units has an empty table and is logged.
+    """
+    there = {r["cls"] for r in cores.select("cls").distinct().collect()}  # a row per class
+    rest = [c for c in units.columns if c != geometry]
+    out = {}
+    for c in membership_cols:
+        if c not in there:
+            _log.warning("no unit reaches the cutoff in class %s", c)
+        own = cores.where(F.col("cls") == c).select(F.col("node_id").alias("__n"), F.col("core_region_id"))
+        out[c] = own.join(units, F.col("__n") == F.col(node)).select("core_region_id", *rest, geometry)
+    return out

@@ -175,3 +175,32 @@ def test_core_regions(spark):
             core_regions(u, **({"membership_cols": ["a"]} | bad))
     with pytest.raises(ValueError):
         core_regions(m)
+
+
+def test_wkb_with_heights_and_reference_system():
+    import struct
+
+    from terrane.functions.geometry import wkb_rings
+
+    ring = [(0.0, 0.0), (2.0, 0.0), (2.0, 1.0), (0.0, 0.0)]
+    want = [[{"x": x, "y": y} for x, y in ring[:-1]]]
+
+    def polygon(kind, extra, srid=None, order="<"):
+        head = struct.pack(order + "BI", order == "<", kind) + (struct.pack(order + "I", srid) if srid else b"")
+        return head + struct.pack(order + "II", 1, len(ring)) + b"".join(struct.pack(order + f"{2 + extra}d", x, y, *[9.0] * extra) for x, y in ring)
+
+    plain = [(3, 0, None), (1003, 1, None), (2003, 1, None), (3003, 2, None), (0x80000003, 1, None), (0x40000003, 1, None), (0xC0000003, 2, None), (0x20000003, 0, 4326), (0xA0000003, 1, 4326)]
+    for order in "<>":
+        assert all(wkb_rings(polygon(k, e, s, order)) == want for k, e, s in plain)
+        many = struct.pack(order + "BII", order == "<", 1006, 2) + polygon(1003, 1, None, order) * 2
+        assert wkb_rings(many) == want * 2
+
+
+def test_core_polygons(spark):
+    from terrane.operators.cores import core_polygons
+
+    units = spark.createDataFrame([(1, "[a]", 0.5), (2, "[b]", 0.7)], "node_id long, rings string, v double")
+    cores = spark.createDataFrame([("X1", 2, 1)], "cls string, node_id long, core_region_id int")
+    got = core_polygons(units, cores, ["X1", "X2"])
+    assert got["X1"].columns == ["core_region_id", "node_id", "v", "rings"] and [tuple(r) for r in got["X1"].collect()] == [(1, 2, 0.7, "[b]")]
+    assert got["X2"].columns == got["X1"].columns and got["X2"].count() == 0
