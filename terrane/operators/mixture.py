@@ -10,14 +10,18 @@ from pyspark.sql import functions as F
 
 from terrane.operators.attributes import constant_columns_by, numeric, require, with_geology
 
-#: Covariance families: one or each component's (E, V) volume, shape and orientation.
+#: Covariance families: one or each component's (E, V) volume, shape and orientation, or none (I).
 FAMILIES = ("EII", "VII", "EEI", "VVI", "EEE", "VVV")
+#: With the families between these.  Of one variable there are two, E and V, which EII and VII give.
+ALL_FAMILIES = (*FAMILIES, "VEI", "EVI", "VEE", "EEV", "VEV", "EVV", "EVE", "VVE")
 MODEL = "region string, component int, pro double, vars array<string>, mean array<double>, sigma array<array<double>>, covariance_model string, bic double"
 
 
 def parameters(family: str, g: int, p: int) -> int:
-    own = {"EII": 1, "VII": g, "EEI": p, "VVI": g * p, "EEE": p * (p + 1) // 2, "VVV": g * p * (p + 1) // 2}[family]
-    return g - 1 + g * p + own
+    """Free parameters: proportions, means, and of the covariances the volumes, shapes and orientations."""
+    times = {"E": 1, "V": g, "I": 0}
+    volume, shape, turn = (times[c] for c in family)
+    return g - 1 + g * p + volume + shape * (p - 1) + turn * (p * (p - 1) // 2)
 
 
 def log_density(x: np.ndarray, mean: np.ndarray, sigma: np.ndarray) -> np.ndarray:
@@ -39,16 +43,66 @@ def posterior(x: np.ndarray, pro: np.ndarray, mean: np.ndarray, sigma: np.ndarra
     return np.exp(log - total), float(total.sum())
 
 
+def _unit(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Matrices (the last two axes) as volume, the p-th root of the determinant, and a matrix of determinant 1."""
+    volume = np.exp(np.linalg.slogdet(m)[1] / m.shape[-1])
+    return volume, m / volume[..., None, None]
+
+
+def _common_axes(w: np.ndarray, inverse: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """A step towards the orthogonal D of least sum of tr(W_k D A_k^-1 D') (Browne and McNicholas 2014); `inverse`: diagonals of A_k^-1."""
+    most = np.linalg.eigvalsh(w)[:, -1]
+    f = np.einsum("kp,qp,kqr->pr", inverse, axes, w) - np.einsum("k,kp,qp->pq", most, inverse, axes)
+    u, _, vt = np.linalg.svd(f)
+    return -(vt.T @ u.T)
+
+
+def _alternate(family: str, w: np.ndarray, size: np.ndarray, rounds: int = 100, tol: float = 1e-10) -> np.ndarray:
+    """Families without a closed form: volumes, shapes and common axes in turn until the objective stands."""
+    g, p = len(w), w.shape[1]
+    n, last = size.sum(), np.inf
+    axes = np.linalg.eigh(w.sum(axis=0))[1]
+    own = np.linalg.eigh(w)[1][:, :, ::-1]  # falling eigenvalues, so that shapes match
+    shape = {"VEI": lambda s: s * np.eye(p), "VEE": lambda s: s, "VEV": lambda s: s * np.eye(p)}.get(family)
+    turned = np.einsum("kqp,kqr,krs->kps", own, w, own) if family == "VEV" else w
+    volume = np.full(g, 1.0)
+    for _ in range(rounds):
+        if shape:  # one shape (VEE: and orientation) at volumes of their own
+            one = _unit(shape((turned / volume[:, None, None]).sum(axis=0)))[1]
+            volume = np.einsum("pq,kqp->k", np.linalg.inv(one), turned) / (p * size)
+            sigma = volume[:, None, None] * (own @ one @ own.transpose(0, 2, 1) if family == "VEV" else one)
+        else:  # EVE, VVE: shapes of their own on common axes
+            spread = np.einsum("qp,kqr,rp->kp", axes, w, axes)
+            root = np.exp(np.log(spread).mean(axis=1))
+            own_volume = root / size if family == "VVE" else np.full(g, root.sum() / n)
+            scale = own_volume[:, None] * spread / root[:, None]
+            sigma = np.einsum("pq,kq,rq->kpr", axes, scale, axes)
+            axes = _common_axes(w, 1 / scale, axes)
+        now = float(size @ np.linalg.slogdet(sigma)[1] + np.einsum("kpq,kqp->", w, np.linalg.inv(sigma)))
+        if last - now <= tol * abs(now):
+            break
+        last = now
+    return sigma
+
+
 def covariances(family: str, x: np.ndarray, z: np.ndarray, mean: np.ndarray) -> np.ndarray:
     """M-step of the covariances (Celeux and Govaert 1995)."""
     n, p = x.shape
     size = z.sum(axis=0)
     w = np.stack([((z[:, k, None] * (d := x - mean[k])).T @ d) for k in range(len(mean))])
-    one = np.eye(p)
-    if family[0] == "E":
+    one, g = np.eye(p), len(mean)
+    if family in ("EII", "EEI", "EEE"):
         s = w.sum(axis=0) / n
         s = {"EII": one * np.trace(s) / p, "EEI": np.diag(np.diag(s)), "EEE": s}[family]
-        return np.repeat(s[None], len(mean), axis=0)
+        return np.repeat(s[None], g, axis=0)
+    if family in ("EVI", "EVV"):
+        volume, unit = _unit(w * one if family == "EVI" else w)
+        return volume.sum() / n * unit
+    if family == "EEV":
+        values, axes = np.linalg.eigh(w)
+        return np.einsum("kpq,q,krq->kpr", axes, values.sum(axis=0) / n, axes)
+    if family in ALL_FAMILIES[len(FAMILIES) :]:
+        return _alternate(family, w, size)
     s = w / np.maximum(size, 1e-300)[:, None, None]
     return {"VII": lambda: one * (np.trace(s, axis1=1, axis2=2) / p)[:, None, None], "VVI": lambda: s * one, "VVV": lambda: s}[family]()
 
@@ -61,7 +115,7 @@ def fit_mixture(x: np.ndarray, g: int, family: str, seed: int = 0, restarts: int
         return None
     scale = np.where(x.std(axis=0) > 0, x.std(axis=0), 1)
     for start in range(1 if g == 1 else restarts):
-        rng = np.random.Generator(np.random.PCG64([seed, g, FAMILIES.index(family), start]))
+        rng = np.random.Generator(np.random.PCG64([seed, g, ALL_FAMILIES.index(family), start]))
         u = x / scale
         centres = u[rng.integers(n)][None]
         while len(centres) < g:
@@ -111,12 +165,14 @@ def fit_models(training: DataFrame, variables: dict[str, list[str]], components=
         own = variables[region]
         x = frame[own].dropna().to_numpy(float)
         x = x[np.lexsort(x.T[::-1])]  # row order does not matter
-        got = fit_mixture(x, int(g), family, seed)
+        alone = len(own) == 1
+        got = None if alone and family not in ("EII", "VII") else fit_mixture(x, int(g), family, seed)
         cols = ["region", "component", "pro", "vars", "mean", "sigma", "covariance_model", "bic", "npar"]
         if got is None:
             return pd.DataFrame(columns=cols)
         loglik, pro, mean, sigma = got
         npar = parameters(family, int(g), len(own))
+        family = family[0] if alone else family
         bic = 2 * loglik - npar * np.log(len(x))
         return pd.DataFrame([(region, k + 1, pro[k], own, mean[k].tolist(), sigma[k].tolist(), family, bic, npar) for k in range(int(g))], columns=cols)
 

@@ -187,3 +187,44 @@ def test_registered_river_types_try_more_than_three_components(spark):
 
     got = queries.river_types_full(spark, "/root/testdata/sf0.001")
     assert max(int(c.split("RiverType")[1]) for c in got.columns if c != "node_id") > 3
+
+
+def _near_member(rng, family, sigma, step):
+    """Covariances of the same family close to `sigma`."""
+    g, p = len(sigma), sigma.shape[1]
+    volume = np.exp(np.linalg.slogdet(sigma)[1] / p)
+    if family[2] == "V":
+        values, axes = np.linalg.eigh(sigma)
+    else:
+        axes = np.repeat((np.eye(p) if family[2] == "I" else np.linalg.eigh(sigma[0])[1])[None], g, axis=0)
+        values = np.einsum("kqp,kqr,krp->kp", axes, sigma, axes)
+    shape = values / volume[:, None]
+    change = lambda letter, size: np.zeros((g, size)) if letter == "I" else np.repeat(rng.normal(0, step, (1, size)), g, axis=0) if letter == "E" else rng.normal(0, step, (g, size))
+    volume = volume * np.exp(change(family[0], 1)[:, 0])
+    bent = change(family[1], p)
+    shape = shape * np.exp(bent - bent.mean(axis=1, keepdims=True))
+    skew = change(family[2], p * p).reshape(g, p, p)
+    skew = skew - skew.transpose(0, 2, 1)
+    turn = np.linalg.solve(np.eye(p) + skew / 2, np.eye(p) - skew / 2)  # Cayley: orthogonal
+    axes = turn @ axes
+    return volume[:, None, None] * np.einsum("kpq,kq,krq->kpr", axes, shape, axes)
+
+
+@pytest.mark.parametrize("family", mixture.ALL_FAMILIES)
+def test_m_step_is_best_in_its_family(family):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(60, 3)) @ rng.normal(size=(3, 3)) + 4 * k for k in range(3)])
+    z = rng.dirichlet([0.3] * 3, len(x))
+    size = z.sum(axis=0)
+    mean = (z.T @ x) / size[:, None]
+    w = np.stack([((z[:, k, None] * (x - mean[k])).T @ (x - mean[k])) for k in range(3)])
+    cost = lambda s: float(size @ np.linalg.slogdet(s)[1] + np.einsum("kpq,kqp->", w, np.linalg.inv(s)))
+    sigma = mixture.covariances(family, x, z, mean)
+    assert np.allclose(_near_member(rng, family, sigma, 0), sigma, atol=1e-6)
+    best = cost(sigma)
+    tol = 1e-3 if family in ("EVE", "VVE") else 1e-7
+    assert all(cost(_near_member(rng, family, sigma, step)) >= best - tol for step in (0.3, 0.05, 0.01) for _ in range(40))
+
+
+def test_parameter_counts():
+    assert {f: mixture.parameters(f, 2, 3) - 7 for f in mixture.ALL_FAMILIES} == {"EII": 1, "VII": 2, "EEI": 3, "VVI": 6, "EEE": 6, "VVV": 12, "VEI": 4, "EVI": 5, "VEE": 7, "EEV": 9, "VEV": 10, "EVV": 11, "EVE": 8, "VVE": 9}
