@@ -175,7 +175,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     a, b = (_of(sets, pairs.select(F.col(x).alias("id"))).select(F.col("id").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
     both = pairs.join(a, "a").join(b, "b").withColumn("n", F.size(F.array_intersect("set_a", "set_b")))
     near = both.where(F.col("n") >= F.lit(threshold) * (F.size("set_a") + F.size("set_b") - F.col("n")))
-    return materialise(near.select("a", "b"), "verified", release=True)
+    return materialise(near.select("a", "b"), "verified", release=True, observe={"n": F.count(F.lit(1))})
 
 
 def _possible(pairs: DataFrame, marks: DataFrame, threshold: float) -> DataFrame:
@@ -196,7 +196,7 @@ def _open(cand: DataFrame, parts: DataFrame) -> DataFrame:
     known = cand.join(parts.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("component", "id").alias("part"))
     largest = known.groupBy("band", "part").count().groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("count", "part"))["part"].alias("main"))
     rows = known.join(largest.where("parts > 1"), "band").select("band", "id", "part", (F.col("part") != F.col("main")).alias("loose"))
-    return materialise(rows, "open")
+    return materialise(rows, "open", observe={"n": F.count(F.lit(1))})
 
 
 def _neighbours(members: DataFrame, keys: DataFrame, turn: int) -> DataFrame:
@@ -235,9 +235,13 @@ def duplicate_lines(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     parts = connected_components(links, "a", "b")
     for turn in range(ROUNDS + 1):
         members = _open(cand, parts)
+        if not members.observed["n"]:
+            break
         pairs = _possible(_neighbours(members, keys, turn), marks, threshold) if turn < ROUNDS else _rest(members, keys, marks, threshold)
-        known = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        parts = connected_components(known.unionByName(_verified(pairs, sets, threshold)), "a", "b")
+        more = _verified(pairs, sets, threshold)
+        if more.observed["n"]:
+            known = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            parts = connected_components(known.unionByName(more), "a", "b")
         drop(members)
     drop(cand, sets, marks, keys, links)
     return parts
