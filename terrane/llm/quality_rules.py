@@ -179,13 +179,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delt
 def quality_stage(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """The documents that `quality_rules` keeps, with the input's columns.
 
-    Texts are scored twice, once for the cutoffs and once for the verdict, so
-    that no text is shuffled.  The scores pass through a generator, which keeps
-    the optimizer from copying their expressions into the filter.
+    Texts are scored once and written beside their scores, whose columns alone
+    are read for the cutoffs; no text is shuffled.
     """
-    scores = materialise(_scores(docs), "scores")
-    cutoffs = materialise(select_cutoffs(scores, labels, alpha, delta), "cutoffs")
-    packed = docs.select(F.struct(*docs.columns).alias("__row"), F.col("text"), stratum(F.col("lang")).alias("__stratum"))
-    score = F.explode(F.array(F.struct("base_failed", *RULES))).alias("__f")
-    scored = base_counts(packed).select("__row", "__stratum", score).select("__row", "__stratum", "__f.*")
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "text", stratum(F.col("lang")).alias("__stratum"))
+    scored = materialise(base_counts(rows).drop("text"), "scored")
+    cutoffs = materialise(select_cutoffs(scored.drop("__row"), labels, alpha, delta), "cutoffs")
     return _verdict(scored, cutoffs).where("kept").select("__row.*")
