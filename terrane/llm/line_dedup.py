@@ -14,9 +14,10 @@ documents, the one occurrence with the least (doc_id, place) stays.
 * Verification is exact, over all shingles of both lines, and comes in rounds
   with union-find between them, so that joined components drop out.  First
   every member of a band group meets the group's pivot, the line that shares
-  the most bands with others (of a line and its thousands of variants, mostly
-  the line itself).  Then, in each of `ROUNDS` rounds, members meet their
-  neighbours of another component in the order of their further bands.
+  the most bands with others in groups of three or more (of a line and its
+  thousands of variants, mostly the line itself).  That settles the groups of
+  two.  Then, in each of `ROUNDS` rounds, members of groups larger than `SMALL`
+  meet their neighbours of another component in the order of their further bands.
 * What is left are members outside their group's largest component.  They meet
   the rest of the group in one join, whose condition leaves out a pair only
   where a bound proves it below the threshold: by the sizes of its sets, or by
@@ -27,9 +28,11 @@ documents, the one occurrence with the least (doc_id, place) stays.
 * Union-find: `connected_components`, rounds of minima and joins.
 
 Scale: equal lines are combined before the first shuffle, so a hot line is one
-row.  Texts are shuffled for the distinct lines, for lines with candidates and
+row.  Texts are shuffled for the distinct lines, for the pairs compared and once
 for the documents with their decisions, each time after the former shuffle's
-files are released.  Band rows are a long, a byte and the id.  Every round's
+files are released.  Lines with candidates are found by a broadcast bit a line,
+or by a shuffle beyond `BITMAPS`; their texts are kept and their shingles made
+where a pair is compared.  Band rows are the key, with its number, and the id.  Every round's
 pairs grow with the members of groups; only the last join's work grows with the
 lines outside their group's largest component times the group, at some 50 ns a
 pair, and what it returns are pairs close to the threshold.
@@ -61,6 +64,10 @@ ROUNDS = 1
 BITS = 1024
 #: Shingles hashed in one row of the explosion of a line.
 STEP = 4
+#: Groups up to this size leave out the rounds: all their pairs of different components go into the last join.
+SMALL = 64
+#: Bitmaps of 32,768 lines that are broadcast at most (64 MB); more ids are joined by a shuffle.
+BITMAPS = 16384
 HAS_WORD = f"[^{BLANK}]"
 
 
@@ -91,13 +98,20 @@ def _shingle_at(coded: Column, i: Column) -> Column:
 
 def shingles(line: Column) -> Column:
     """Hashes of all different shingles of a line."""
-    return let(coded_line(line), lambda b: F.array_distinct(F.transform(F.sequence(F.lit(0), _places(b) - 1), lambda i: _shingle_at(b, i))))
+    # over bytes, not characters, as every step of a lambda is interpreted
+    last = lambda b: F.length(b) - (4 * SHINGLE - 1)
+    return let(coded_line(line), lambda b: F.array_distinct(F.transform(F.sequence(F.lit(1), last(b), F.lit(4)), lambda i: F.xxhash64(F.substring(b, i, F.lit(4 * SHINGLE))))))
 
 
 def _row_key(docs: DataFrame) -> Column:
     return F.xxhash64("doc_id", "text")
 
 
+def _id_key() -> Column:
+    """A hash of the doc_id; beside the row key, which depends on the text too, it tells rows apart."""
+    return F.xxhash64(F.lit(7), "doc_id")
+
+
 def distinct_lines(docs: DataFrame) -> DataFrame:
     """`id, at, line`: every different line with a word, and its first occurrence at (doc_id, row key, place); ids are unique numbers."""
     rows = docs.select("doc_id", _row_key(docs).alias("row"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
@@ -138,23 +152,24 @@ def _number(band: Column) -> Column:
     return band.bitwiseAND(F.lit(31)).cast("int")
 
 
-def _of(table: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of `table` with one of `ids`, which are written first, so that the size of their files decides on the join."""
-    ids = materialise(ids.distinct(), "ids")
-    return table.join(ids, "id", "left_semi")
-
-
-def _sets(lines: DataFrame, cand: DataFrame) -> DataFrame:
-    """`id, set`: the shingles of every line in a group."""
-    texts = _of(lines.select("id", "line"), cand.select("id"))
-    return materialise(texts.select("id", shingles(F.col("line")).alias("set")), "sets", release=True)
+def _split(table: DataFrame, ids: DataFrame, there: bool) -> DataFrame:
+    """The rows of `table` whose id is (`there`) or is not among `ids`, which go as bitmaps, one bit a line, so that wide rows need no shuffle."""
+    bits = ids.groupBy(F.bitmap_bucket_number("id").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("bits"))
+    bits = materialise(bits, "bits", observe={"n": F.count(F.lit(1))})
+    if bits.observed["n"] > BITMAPS:
+        return table.join(ids.distinct(), "id", "left_semi" if there else "left_anti")
+    at = F.bitmap_bit_position("id")
+    byte = F.conv(F.hex(F.substring("bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = F.coalesce(F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)), F.lit(0)) == F.lit(int(there))
+    return table.withColumn("bucket", F.bitmap_bucket_number("id")).join(F.broadcast(bits), "bucket", "left").where(found).select(*table.columns)
 
 
-def _marks(sets: DataFrame) -> DataFrame:
+def _marks(texts: DataFrame) -> DataFrame:
     """`id, size, x0, x1, ...`: the size of a line's set and the parities of its shingles in `BITS` buckets."""
-    rows = sets.select("id", F.explode("set").alias("s"))
+    rows = texts.select("id", F.explode(shingles(F.col("line"))).alias("s"))
     rows = rows.select("id", F.pmod("s", F.lit(BITS // 64)).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("s", 58).cast("int")).alias("x"))
-    marks = rows.groupBy("id").agg(F.count(F.lit(1)).alias("size"), *[F.bit_xor(F.when(F.col("word") == k, F.col("x")).otherwise(F.lit(0).cast("long"))).alias(f"x{k}") for k in range(BITS // 64)])
+    words = rows.groupBy("id", "word").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("x").alias("x"))
+    marks = words.groupBy("id").agg(F.sum("n").alias("size"), *[F.bit_xor(F.when(F.col("word") == k, F.col("x")).otherwise(F.lit(0).cast("long"))).alias(f"x{k}") for k in range(BITS // 64)])
     return materialise(marks, "marks", release=True)
 
 
@@ -169,13 +184,19 @@ def _side(marks: DataFrame, side: str) -> DataFrame:
     return marks.select(*[F.col(c).alias(f"{c}_{side}") for c in marks.columns])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Those of `pairs` (a, b) whose lines' Jaccard similarity reaches `threshold`."""
     pairs = materialise(pairs, "pairs")
-    a, b = (_of(sets, pairs.select(F.col(x).alias("id"))).select(F.col("id").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
-    both = pairs.join(a, "a").join(b, "b").withColumn("n", F.size(F.array_intersect("set_a", "set_b")))
-    near = both.where(F.col("n") >= F.lit(threshold) * (F.size("set_a") + F.size("set_b") - F.col("n")))
-    return materialise(near.select("a", "b"), "verified", release=True, observe={"n": F.count(F.lit(1))})
+    a, b = (texts.select(F.col("id").alias(x), F.col("line").alias(f"line_{x}")) for x in "ab")
+    both = pairs.join(a, "a").join(b, "b").select("a", "b", *[shingles(F.col(f"line_{x}")).alias(f"set_{x}") for x in "ab"])
+    both = both.withColumn("n", F.size(F.array_intersect("set_a", "set_b")))
+    # written before it is filtered, or the filter would make the sets again
+    both = both.select("a", "b", (F.col("n") >= F.lit(threshold) * (F.size("set_a") + F.size("set_b") - F.col("n"))).alias("near"))
+    compared = materialise(both, "verified", release=True, observe={"n": F.count_if("near")})
+    drop(pairs)
+    near = compared.where("near").select("a", "b")
+    near._written_at, near.observed = compared._written_at, compared.observed
+    return near
 
 
 def _possible(pairs: DataFrame, marks: DataFrame, threshold: float) -> DataFrame:
@@ -185,18 +206,22 @@ def _possible(pairs: DataFrame, marks: DataFrame, threshold: float) -> DataFrame
 
 
 def _pivot_pairs(cand: DataFrame) -> DataFrame:
-    """`a, b`: every member of a band group and the group's pivot."""
-    central = cand.groupBy("id").agg(F.sum(F.col("n") - 1).alias("c"))
-    pivots = cand.join(central, "id").groupBy("band").agg(F.max(F.struct("c", "id"))["id"].alias("b"))
-    return cand.select("band", F.col("id").alias("a")).join(pivots, "band").where("a <> b").select("a", "b").distinct()
+    """`a, b`: both members of a band group of two; of a larger one, every member and the group's pivot."""
+    twos = cand.where("n = 2").groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("b")).select("a", "b")
+    more = cand.where("n > 2")
+    central = more.groupBy("id").agg(F.sum(F.col("n") - 1).alias("c"))
+    pivots = more.join(central, "id").groupBy("band").agg(F.max(F.struct("c", "id"))["id"].alias("p"))
+    pairs = more.join(pivots, "band").where("id <> p").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
+    return twos.unionByName(pairs).distinct()
 
 
 def _open(cand: DataFrame, parts: DataFrame) -> DataFrame:
-    """`band, id, part, loose`: the members of groups that hold several components; loose if not in the group's largest."""
-    known = cand.join(parts.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("component", "id").alias("part"))
+    """`band, id, n, part, loose`: the members of groups of three or more that hold several components; loose if not in the group's largest."""
+    # the only pair of a group of two is its pivot's, which has been compared
+    known = cand.where("n > 2").join(parts.withColumnRenamed("node", "id"), "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("part"))
     largest = known.groupBy("band", "part").count().groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("count", "part"))["part"].alias("main"))
-    rows = known.join(largest.where("parts > 1"), "band").select("band", "id", "part", (F.col("part") != F.col("main")).alias("loose"))
-    return materialise(rows, "open", observe={"n": F.count(F.lit(1))})
+    rows = known.join(largest.where("parts > 1"), "band").select("band", "id", "n", "part", (F.col("part") != F.col("main")).alias("loose"))
+    return materialise(rows, "open", observe={"n": F.count(F.lit(1)), "large": F.count_if(F.col("n") > SMALL)})
 
 
 def _neighbours(members: DataFrame, keys: DataFrame, turn: int) -> DataFrame:
@@ -216,7 +241,7 @@ def _neighbours(members: DataFrame, keys: DataFrame, turn: int) -> DataFrame:
 
 def _rest(members: DataFrame, keys: DataFrame, marks: DataFrame, threshold: float) -> DataFrame:
     """`a, b`: the pairs of different components in a group that no bound rules out, each once."""
-    rows = materialise(members.join(keys, "id").join(marks, "id"), "members")
+    rows = materialise(members.drop("n").join(keys, "id").join(marks, "id"), "members")
     a, b = _side(rows, "a").where("loose_a"), _side(rows, "b")
     first = F.array_position(F.zip_with("keys_a", "keys_b", lambda x, y: F.coalesce(x == y, F.lit(False))), True) - 1
     fits = (F.col("part_a") != F.col("part_b")) & (~F.col("loose_b") | (F.col("id_a") < F.col("id_b"))) & _may_be_near(threshold)
@@ -226,52 +251,74 @@ def _rest(members: DataFrame, keys: DataFrame, marks: DataFrame, threshold: floa
 
 def duplicate_lines(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """`node, component` over the ids of lines that have fuzzy duplicates."""
-    cand = _candidates(lines)
-    sets = _sets(lines, cand)
-    marks = _marks(sets)
-    keys = cand.groupBy("id").agg(F.array(*[F.max(F.when(_number(F.col("band")) == b, F.col("band"))) for b in range(len(BANDS))]).alias("keys"))
-    keys = materialise(keys, "keys")
-    links = _verified(_possible(_pivot_pairs(cand), marks, threshold), sets, threshold)
+    return _linked(_candidates(lines), lines, threshold)[0]
+
+
+def _keys(cand: DataFrame, ids: DataFrame) -> DataFrame:
+    """`id, keys`: the bands of each of `ids` by number; null where it shares the band with no one."""
+    rows = cand.join(ids, "id", "left_semi")
+    return materialise(rows.groupBy("id").agg(F.array(*[F.max(F.when(_number(F.col("band")) == b, F.col("band"))) for b in range(len(BANDS))]).alias("keys")), "keys")
+
+
+def _linked(cand: DataFrame, lines: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The components, as `duplicate_lines` has them, and the rows of `lines` with candidates."""
+    texts = materialise(_split(lines, cand.select("id"), True), "texts", release=True)
+    links = _verified(_pivot_pairs(cand), texts, threshold)
     parts = connected_components(links, "a", "b")
-    for turn in range(ROUNDS + 1):
-        members = _open(cand, parts)
-        if not members.observed["n"]:
-            break
-        pairs = _possible(_neighbours(members, keys, turn), marks, threshold) if turn < ROUNDS else _rest(members, keys, marks, threshold)
-        more = _verified(pairs, sets, threshold)
-        if more.observed["n"]:
-            known = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            parts = connected_components(known.unionByName(more), "a", "b")
-        drop(members)
-    drop(cand, sets, marks, keys, links)
-    return parts
+    members = _open(cand, parts)
+    if members.observed["n"]:
+        # later members are among these
+        ids = materialise(members.select("id").distinct(), "ids")
+        marks, keys = _marks(texts.join(ids, "id", "left_semi")), _keys(cand, ids)
+        for turn in range(ROUNDS + 1):
+            if turn < ROUNDS and not members.observed["large"]:
+                continue
+            large = members.where(F.col("n") > SMALL)
+            pairs = _possible(_neighbours(large, keys, turn), marks, threshold) if turn < ROUNDS else _rest(members, keys, marks, threshold)
+            more = _verified(pairs, texts, threshold)
+            if more.observed["n"]:
+                known = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
+                parts = connected_components(known.unionByName(more), "a", "b")
+                if turn < ROUNDS:
+                    drop(members)
+                    members = _open(cand, parts)
+                    if not members.observed["n"]:
+                        break
+            drop(more)
+        drop(ids, marks, keys)
+    drop(members)
+    drop(cand, links)
+    return parts, texts
 
 
 def _decisions(docs: DataFrame, threshold: float) -> DataFrame:
-    """`doc_id, row, stay`: the places of the lines that stay, for every document that keeps one."""
+    """`__row, __id, __stay`: the places of the lines that stay, for every document that keeps one."""
     lines = distinct_lines(docs)
-    parts = duplicate_lines(lines, threshold)
-    members = lines.select("id", "at").join(parts.withColumnRenamed("node", "id"), "id")
+    parts, texts = _linked(_candidates(lines), lines, threshold)
+    members = texts.select("id", "at").join(parts.withColumnRenamed("node", "id"), "id")
     least = members.groupBy("component").agg(F.min("at").alias("least"))
     gone = materialise(members.join(least, "component").where("at <> least").select("id"), "gone", release=True)
-    stay = lines.select("id", "at").join(gone, "id", "left_anti").select("at.*")
-    return stay.groupBy("doc_id", "row").agg(F.collect_list("pos").alias("stay"))
+    drop(texts)
+    stay = _split(lines.select("id", "at"), gone, False).select("at.*")
+    return stay.groupBy(F.col("row").alias("__row"), _id_key().alias("__id")).agg(F.collect_list("pos").alias("__stay"))
 
 
 def _rebuilt(docs: DataFrame, threshold: float) -> DataFrame:
     """The input with `__new`, the text that stays, and `__lines`, `__kept`, its numbers of lines with a word."""
-    stay = _decisions(docs, threshold).select(F.col("doc_id").alias("__d"), F.col("row").alias("__row2"), F.col("stay").alias("__stay"))
-    rows = docs.withColumn("__row", _row_key(docs))
-    rows = rows.join(stay, (F.col("__row") == F.col("__row2")) & F.col("doc_id").eqNullSafe(F.col("__d")), "left").drop("__d", "__row2")
-    copy = F.row_number().over(Window.partitionBy("__row", "doc_id").orderBy("__row", "doc_id"))
+    # both keys are never null, so that the join and the numbers of copies share one shuffle of the texts
+    rows = docs.withColumns({"__row": _row_key(docs), "__id": _id_key()}).join(_decisions(docs, threshold), ["__row", "__id"], "left")
+    copy = F.row_number().over(Window.partitionBy("__row", "__id").orderBy("__row", "__id"))
     none = F.array().cast("array<int>")
-    rows = rows.withColumn("__stay", F.when(copy == 1, F.coalesce("__stay", none)).otherwise(none)).drop("__row")
+    rows = rows.withColumn("__stay", F.when(copy == 1, F.coalesce("__stay", none)).otherwise(none)).drop("__row", "__id")
     blank = lambda x: F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: ~F.get(x, i).rlike(HAS_WORD))
     made = let(
         F.split("text", "\n"),
-        lambda x: F.struct(
-            F.array_join(F.transform(F.array_sort(F.concat(F.col("__stay"), blank(x))), lambda i: F.get(x, i)), "\n").alias("text"),
-            (F.size(x) - F.size(blank(x))).alias("lines"),
+        lambda x: let(
+            blank(x),
+            lambda y: F.struct(
+                F.array_join(F.transform(F.array_sort(F.concat(F.col("__stay"), y)), lambda i: F.get(x, i)), "\n").alias("text"),
+                (F.size(x) - F.size(y)).alias("lines"),
+            ),
         ),
     )
     rows = rows.withColumn("__made", F.when(F.col("text").isNotNull(), made))

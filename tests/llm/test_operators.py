@@ -245,6 +245,42 @@ def test_line_dedup_awkward(spark):
     assert stage.columns == documents(spark).columns and 2 not in left and left[9]["text"].count("the same line") == 1 and left[9]["n_chars"] == len(left[9]["text"])
 
 
+def test_line_dedup_settles_groups_of_two(spark):
+    cand = spark.createDataFrame([(1, 10, 2), (1, 11, 2), (2, 10, 3), (2, 12, 3), (2, 13, 3)], "band long, id long, n long")
+    none = spark.createDataFrame([], "node long, component long")
+    assert {tuple(r) for r in line_dedup._pivot_pairs(cand).collect()} == {(10, 11), (10, 13), (12, 13)}
+    # the pair of band 1 has met; of band 2, (10, 12) has not
+    assert {(r["band"], r["id"]) for r in line_dedup._open(cand, none).collect()} == {(2, 10), (2, 12), (2, 13)}
+
+
+def test_line_dedup_splits_by_bits_or_shuffle(spark, monkeypatch):
+    every = [0, 1, 7, 8, 32767, 32768, 32769, 65536, 65537, (5 << 33), (5 << 33) + 1, (5 << 33) + 40000]
+    some = every[::2]
+    table, ids = spark.createDataFrame([(i, str(i)) for i in every], "id long, x string"), spark.createDataFrame([(i,) for i in some * 2], "id long")
+    for most in (line_dedup.BITMAPS, 0):
+        monkeypatch.setattr(line_dedup, "BITMAPS", most)
+        for there in (True, False):
+            got = sorted(tuple(r) for r in line_dedup._split(table, ids, there).collect())
+            assert got == [(i, str(i)) for i in every if (i in some) == there]
+
+
+def test_line_dedup_same_with_and_without_rounds(spark, monkeypatch):
+    rng = random.Random(5)
+    base = prose(91, 30).replace("\n", " ")
+    lines = set()
+    while len(lines) < 60:
+        x = list(base)
+        for _ in range(rng.randint(0, 5)):
+            x[rng.randrange(len(x))] = rng.choice("qxz")
+        lines.add("".join(x))
+    table = spark.createDataFrame([(i, x) for i, x in enumerate(sorted(lines))], "id long, line string").selectExpr("id", "struct(id as doc_id, 0L as row, 0 as pos) as at", "line").coalesce(2)
+    got = []
+    for small in (2, 64):
+        monkeypatch.setattr(line_dedup, "SMALL", small)
+        got.append({tuple(r) for r in line_dedup.duplicate_lines(table).collect()})
+    assert got[0] == got[1] and len(got[0]) > 10
+
+
 # 4 packing
 
 
