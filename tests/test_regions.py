@@ -228,3 +228,14 @@ def test_m_step_is_best_in_its_family(family):
 
 def test_parameter_counts():
     assert {f: mixture.parameters(f, 2, 3) - 7 for f in mixture.ALL_FAMILIES} == {"EII": 1, "VII": 2, "EEI": 3, "VVI": 6, "EEE": 6, "VVV": 12, "VEI": 4, "EVI": 5, "VEE": 7, "EEV": 9, "VEV": 10, "EVV": 11, "EVE": 8, "VVE": 9}
+
+
+def test_label_distance_in_blocks_equals_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(int(i), t, int(v)) for i in range(40) for t, v in enumerate(rng.integers(-3, 3, 7)) if (i + t) % 9]
+    rows += [rows[0], (3, 2, None)]  # a row twice counts twice, as in a join
+    monkeypatch.setattr(R, "BLOCK", 8)
+    df = R.label_distance(spark.createDataFrame(rows, "node_id long, tree_id int, label int"))
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()  # no row for each label that a pair shares
+    want = Counter((a[0], b[0]) for a, b in itertools.product(rows, rows) if a[0] < b[0] and a[1] == b[1] and a[2] == b[2] and a[2] is not None)
+    assert {(r["a"], r["b"]): r["distance"] for r in df.collect()} == {k: 1 - n / 7 for k, n in want.items()}
