@@ -239,3 +239,27 @@ def test_label_distance_in_blocks_equals_all_pairs(spark, monkeypatch):
     assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()  # no row for each label that a pair shares
     want = Counter((a[0], b[0]) for a, b in itertools.product(rows, rows) if a[0] < b[0] and a[1] == b[1] and a[2] == b[2] and a[2] is not None)
     assert {(r["a"], r["b"]): r["distance"] for r in df.collect()} == {k: 1 - n / 7 for k, n in want.items()}
+
+
+def test_distributed_pam_equals_pam(spark, monkeypatch):
+    monkeypatch.setattr(R, "BLOCK", 5)
+    for seed, k in ((1, 4), (2, 3), (5, 2), (3, 1)):
+        rng = np.random.default_rng(seed)
+        sig = np.unique(rng.integers(1, 4, (45, 5)), axis=0)
+        rng.shuffle(sig)
+        w = rng.integers(1, 6, len(sig))
+        want = R.pam(R.mismatches(sig), w.astype(float), k)
+        kinds = spark.createDataFrame([(i, int(n), v.tolist()) for i, (n, v) in enumerate(zip(w, sig))], "rep long, n long, v array<tinyint>")
+        first = int((w @ R.mismatches(sig)).argmin())
+        assert R.distributed_pam(kinds, first, k) == [sig[m].tolist() for m in want]
+    with pytest.raises(ValueError):
+        R.distributed_pam(kinds, first, 1000)
+
+
+def test_skater_and_first_medoid_make_no_distance_matrix(spark, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("a matrix of all distances on the driver")
+
+    want = R.skater_con(lattice(spark), 4, 6, 9, seed=2).orderBy("node_id").collect()
+    monkeypatch.setattr(R, "mismatches", refuse)
+    assert R.skater_con(lattice(spark), 4, 6, 9, seed=2).orderBy("node_id").collect() == want
