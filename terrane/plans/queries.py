@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -172,12 +171,7 @@ def hamming_labels(spark, sf_dir):
 SELECT node_id, 64 * (SELECT count(*) FROM embeddings) - same AS total FROM s ORDER BY total, node_id LIMIT 1""")
 def pam_build_first_medoid(spark, sf_dir):
     """The one medoid that `pam` finds, and its total distance."""
-    rows = materialise(_labels(spark, sf_dir), "labels")
-    vector = F.transform(F.array_sort(F.collect_list(F.struct("tree_id", "label"))), lambda x: x["label"])
-    vectors = rows.groupBy("node_id").agg(vector.alias("v")).orderBy("node_id").toArrow()
-    sig = np.array(vectors.column("v").to_pylist(), np.int32)
-    medoid = vectors.column("node_id")[regionalise.pam(regionalise.mismatches(sig), np.ones(len(sig)), 1)[0]].as_py()
-    return regionalise.total_distances(rows).where(F.col("node_id") == medoid)
+    return regionalise.first_medoid(materialise(_labels(spark, sf_dir), "labels"))
 
 
 @query(f"""WITH {LABELS_SQL}, d AS (SELECT a.node_id, CAST(b.node_id + 1 AS INT) AS medoid, count(*) FILTER (a.label <> b.label) / 64.0::DOUBLE AS d FROM l a JOIN l b ON a.tree_id = b.tree_id AND b.node_id < 3 GROUP BY 1, 2),

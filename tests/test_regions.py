@@ -257,9 +257,12 @@ def test_distributed_pam_equals_pam(spark, monkeypatch):
 
 
 def test_skater_and_first_medoid_make_no_distance_matrix(spark, monkeypatch):
+    from terrane.plans import queries
+
     def refuse(*_):
         raise AssertionError("a matrix of all distances on the driver")
 
     want = R.skater_con(lattice(spark), 4, 6, 9, seed=2).orderBy("node_id").collect()
     monkeypatch.setattr(R, "mismatches", refuse)
     assert R.skater_con(lattice(spark), 4, 6, 9, seed=2).orderBy("node_id").collect() == want
+    assert queries.pam_build_first_medoid(spark, "/root/testdata/sf0.001").count() == 1
