@@ -159,3 +159,69 @@ def relation(a: np.ndarray, b: np.ndarray, eps: float = 1e-9) -> tuple[bool, int
         near = near[_inside(near, a, 0.0)]
         meet = bool(len(near) and _inside(near, b, 0.0).any())
     return meet, dim, length
+
+
+def relations(a: np.ndarray, b: np.ndarray, eps: float = 1e-9) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`relation` of many pairs at once, `a` (pairs x n x 4) and `b` (pairs x m x 4)."""
+    n_a, n_b = a.shape[1], b.shape[1]
+    p, r = a[:, :, None, :2], (a[..., 2:] - a[..., :2])[:, :, None]
+    q, v = b[:, None, :, :2], (b[..., 2:] - b[..., :2])[:, None]
+    n, m = np.hypot(r[..., 0], r[..., 1]), np.hypot(v[..., 0], v[..., 1])
+    w = q - p
+    cross = r[..., 0] * v[..., 1] - r[..., 1] * v[..., 0]
+    wr, wv = w[..., 0] * r[..., 1] - w[..., 1] * r[..., 0], w[..., 0] * v[..., 1] - w[..., 1] * v[..., 0]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t, k = wv / cross, wr / cross
+        crossing = np.abs(cross) > eps * n * m
+        point = crossing & (-eps / n <= t) & (t <= 1 + eps / n) & (-eps / m <= k) & (k <= 1 + eps / m)
+        t0, t1 = (w * r).sum(-1) / n**2, ((w + v) * r).sum(-1) / n**2
+        low, high = np.maximum(np.minimum(t0, t1), 0.0), np.minimum(np.maximum(t0, t1), 1.0)
+        along = ~crossing & (np.abs(wr) <= eps * n) & (high >= low - eps / n)
+        back = [((p + x[..., None] * r - q) * v).sum(-1) / m**2 for x in (low, high)]
+    dim = np.where(along, np.where((high - low) * n > eps, 1, 0), np.where(point, 0, -1)).reshape(len(a), -1).max(axis=1)
+    length = np.where(along, np.maximum(0.0, high - low) * n, 0.0).reshape(len(a), -1).sum(axis=1)
+
+    def middles(segs, cuts):
+        """Middle points of the parts of each segment, NaN for a part of no length."""
+        ends = np.zeros(cuts[0].shape[:2] + (1,))
+        c = np.sort(np.concatenate([ends, ends + 1, *cuts], axis=2), axis=2)
+        x, y = c[..., :-1], c[..., 1:]
+        mid = np.where(y - x > eps, (x + y) / 2, np.nan)[..., None]
+        return (segs[:, :, None, :2] + mid * (segs[..., 2:] - segs[..., :2])[:, :, None]).reshape(len(segs), -1, 2)
+
+    pick = lambda x, y: np.clip(np.where(point, x, np.where(along, y, 0.0)), 0, 1)
+    also = lambda y: np.clip(np.where(along, y, 0.0), 0, 1)
+    meet = _any_inside(middles(a, [pick(t, low), also(high)]), b, eps)
+    meet |= _any_inside(middles(b, [x.transpose(0, 2, 1) for x in (pick(k, back[0]), also(back[1]))]), a, eps)
+    if (same := np.flatnonzero(~meet & (dim == 1))).size:  # equal outlines: a point just inside a, at any of its sides
+        s = a[same]
+        mid, d = (s[..., :2] + s[..., 2:]) / 2, s[..., 2:] - s[..., :2]
+        side = np.stack([-d[..., 1], d[..., 0]], axis=-1) * 1e-4
+        near = np.concatenate([mid + side, mid - side], axis=1)
+        near = np.where(_each_inside(near, s, 0.0)[..., None], near, np.nan)
+        meet[same] = _any_inside(near, b[same], 0.0)
+    return meet, dim, length
+
+
+def _each_inside(points: np.ndarray, segs: np.ndarray, eps: float) -> np.ndarray:
+    """`_inside` of many polygons at once: points (pairs x k x 2), segs (pairs x n x 4); a NaN point lies in none."""
+    a, b = segs[:, None, :, :2], segs[:, None, :, 2:]
+    q = points[:, :, None, :]
+    d, t = b - a, q - a
+    share = np.clip((t * d).sum(-1) / (d * d).sum(-1), 0, 1)
+    off = np.sqrt(((t - share[..., None] * d) ** 2).sum(-1)).min(axis=2)
+    spans = (a[..., 1] > q[..., 1]) != (b[..., 1] > q[..., 1])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        x = a[..., 0] + (q[..., 1] - a[..., 1]) / d[..., 1] * d[..., 0]
+        return ((spans & (q[..., 0] < x)).sum(axis=2) % 2 == 1) & (off > eps)
+
+
+def _any_inside(points: np.ndarray, segs: np.ndarray, eps: float) -> np.ndarray:
+    """Whether any of a pair's points lies inside the pair's polygon; only points in its box are looked at."""
+    x, y = points[..., 0], points[..., 1]
+    ends = [segs[..., 0::2], segs[..., 1::2]]
+    (x0, y0), (x1, y1) = ([f(e.reshape(len(segs), -1), axis=1)[:, None] for e in ends] for f in (np.min, np.max))
+    which, k = np.nonzero((x > x0) & (x < x1) & (y > y0) & (y < y1))
+    out = np.zeros(len(segs), bool)
+    out[which[_each_inside(points[which, k][:, None], segs[which], eps)[:, 0]]] = True
+    return out

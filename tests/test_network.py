@@ -204,3 +204,25 @@ def test_core_polygons(spark):
     got = core_polygons(units, cores, ["X1", "X2"])
     assert got["X1"].columns == ["core_region_id", "node_id", "v", "rings"] and [tuple(r) for r in got["X1"].collect()] == [(1, 2, 0.7, "[b]")]
     assert got["X2"].columns == got["X1"].columns and got["X2"].count() == 0
+
+
+def test_relations_of_many_pairs_equal_one_by_one():
+    from terrane.functions.geometry import relations
+
+    rng = np.random.default_rng(8)
+    seg = lambda p: np.array([(*u, *w) for u, w in zip(p, [*p[1:], p[0]])], float)
+    square = lambda x, y, s: [(x, y), (x + s, y), (x + s, y + s), (x, y + s)]
+    a = np.array([seg(square(*rng.integers(0, 3, 2), rng.integers(1, 3))) for _ in range(300)])
+    turn = np.sort(rng.random((150, 4)), axis=1) * 2 * np.pi
+    b = np.array([seg(square(*rng.integers(0, 3, 2), rng.integers(1, 3))) for _ in range(150)] + [seg(list(zip(1 + np.cos(t), 1 + np.sin(t)))) for t in turn])
+    b[:9] = a[:9]
+    want = [relation(x, y) for x, y in zip(a, b)]
+    meet, dim, length = relations(a, b)
+    assert len({w[:2] for w in want}) > 4 and list(zip(meet, dim)) == [w[:2] for w in want] and np.allclose(length, [w[2] for w in want])
+
+
+def test_touch_with_rings_of_different_lengths(spark):
+    bent = [[{"x": float(x), "y": float(y)} for x, y in ((1, 0), (2, 0), (2, 1), (1.5, 2), (1, 1), (1, 0))]]
+    apart = box(0, 1, 1, 2) + box(2, 0.5, 3, 1)
+    p = polygons(spark, box(0, 0, 1, 1), bent, apart, box(1, 1, 1.2, 3), [])
+    assert pairs(C.touch_edges(p)) == [(1, 2), (1, 3), (1, 4), (2, 3), (3, 4)]
