@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from terrane.operators.attributes import numeric, require
 from terrane.operators.contiguity import touch_edges
 from terrane.operators.graph import connected_components
+from terrane.sources.workspace import materialise
 
 
 _log = logging.getLogger(__name__)
@@ -37,16 +38,16 @@ def core_regions(units: DataFrame, membership_cols: list[str] | None = None, cut
     if edges is None:
         edges = touch_edges(units.join(core.select(F.col("node_id").alias(node)).distinct(), node, "left_semi"), queen, cell, node)
     a, b = (core.select("cls", F.col("node_id").alias(c)) for c in ("src", "dst"))
-    own = edges.join(a, "src").join(b, ["cls", "dst"])
-    # one run over all classes: a node's number is its rank among all (class, node)
-    number = F.struct("cls", "node_id")
+    own = edges.join(a.hint("merge"), "src").join(b.hint("merge"), ["cls", "dst"])
+    # one run over all classes
     ids = core.select("cls", "node_id").withColumn("k", F.xxhash64("cls", "node_id"))
     key = lambda c: F.xxhash64("cls", c)
     parts = connected_components(own.select(key("src").alias("src"), key("dst").alias("dst"))).withColumnRenamed("node", "k")
-    grouped = ids.join(parts, "k", "left").withColumn("component", F.coalesce("component", "k"))
-    first = F.min(number).over(Window.partitionBy("cls", "component"))["node_id"]
-    grouped = grouped.withColumn("first", first)
-    return grouped.select("cls", "node_id", F.dense_rank().over(Window.partitionBy("cls").orderBy("first")).alias("core_region_id"))
+    grouped = materialise(ids.join(parts.hint("merge"), "k", "left").select("cls", "node_id", F.coalesce("component", "k").alias("component")), "grouped")
+    # groups are numbered, not their units: one row a group and class to sort
+    first = grouped.groupBy("cls", "component").agg(F.min("node_id").alias("first"))
+    number = first.select("cls", "component", F.row_number().over(Window.partitionBy("cls").orderBy("first")).alias("core_region_id"))
+    return grouped.join(number.hint("merge"), ["cls", "component"]).select("cls", "node_id", "core_region_id")
 
 
 def core_polygons(units: DataFrame, cores: DataFrame, membership_cols: list[str], node: str = "node_id", geometry: str = "rings") -> dict[str, DataFrame]:
