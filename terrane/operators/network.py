@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,14 +27,14 @@ class SpatialNetwork:
 def components(nodes: DataFrame, edges: DataFrame, node: str = "node_id") -> DataFrame:
     """`(node_id, component)` of every node, isolated ones too."""
     found = connected_components(edges)
-    return nodes.select(F.col(node).alias("node_id")).join(found.withColumnRenamed("node", "node_id"), "node_id", "left").select("node_id", F.coalesce("component", "node_id").alias("component"))
+    return nodes.select(F.col(node).alias("node_id")).join(found.withColumnRenamed("node", "node_id").hint("merge"), "node_id", "left").select("node_id", F.coalesce("component", "node_id").alias("component"))
 
 
 def neighbour_lists(nodes: DataFrame, edges: DataFrame, node: str = "node_id") -> DataFrame:
     """`(node_id, neighbours)`: sorted neighbours of every node, an empty array for none."""
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     lists = both.groupBy(F.col("src").alias("node_id")).agg(F.array_sort(F.collect_set("dst")).alias("neighbours"))
-    out = nodes.select(F.col(node).alias("node_id")).join(lists, "node_id", "left")
+    out = nodes.select(F.col(node).alias("node_id")).join(lists.hint("merge"), "node_id", "left")
     return out.select("node_id", F.coalesce("neighbours", F.array().cast("array<bigint>")).alias("neighbours"))
 
 
@@ -42,9 +44,10 @@ def network_summary(nodes: DataFrame, edges: DataFrame, node: str = "node_id") -
     return n.join(edges.agg(F.count(F.lit(1)).alias("n_edges"))).select("n_nodes", "n_edges", "n_components")
 
 
-def _nearest_other(points: DataFrame, seekers: DataFrame, start: float, rounds: int = 60) -> DataFrame:
+def nearest_other(points: DataFrame, seekers: DataFrame, start: float, rounds: int = 60) -> DataFrame:
     """For every component of `seekers`, its closest pair (d2, lo, hi) with a point of another component, by growing grid rings.
 
+    No join is a broadcast, which would send its side to the driver each round.
     At radius R points within R are in the 3 x 3 cells of side R around; a
     component with a hit within R is settled, as its other points are farther.
     """
@@ -55,17 +58,46 @@ def _nearest_other(points: DataFrame, seekers: DataFrame, start: float, rounds:
         around = around.select("node_id", "x", "y", "component", (cell("x") + F.col("i")).alias("cx"), (cell("y") + F.col("j")).alias("cy"))
         other = points.select(F.col("node_id").alias("o"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("component").alias("oc"), cell("x").alias("cx"), cell("y").alias("cy"))
         d2 = (F.col("x") - F.col("ox")) ** 2 + (F.col("y") - F.col("oy")) ** 2
-        hits = around.join(other, ["cx", "cy"]).where("component <> oc").select("component", d2.alias("d2"), F.least("node_id", "o").alias("lo"), F.greatest("node_id", "o").alias("hi"))
+        hits = around.join(other.hint("merge"), ["cx", "cy"]).where("component <> oc").select("component", d2.alias("d2"), F.least("node_id", "o").alias("lo"), F.greatest("node_id", "o").alias("hi"))
         best = hits.where(F.col("d2") <= F.lit(radius * radius)).groupBy("component").agg(F.min(F.struct("d2", "lo", "hi")).alias("best"))
         best = materialise(best, "hits")
         found = best if found is None else found.unionByName(best)
-        left = materialise(left.join(best, "component", "left_anti"), "left")
+        left = materialise(left.join(best.hint("merge"), "component", "left_anti"), "left")
         if left.isEmpty():
             return found.select("component", "best.*")
         radius *= 2
     raise RuntimeError("points too far apart for the starting radius")
 
 
+def closest_between(table: pa.Table) -> pa.Table:
+    """`(a, b, d, src, dst)`: the closest points of every two components of two blocks, or of one; ties to the lower, then the higher id."""
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    names = ["node_id", "x", "y", "component"]
+    block, order = table.column("block").to_numpy(), np.lexsort([table.column(c).to_numpy() for c in ("node_id", "component")])
+    (p, px, py, pc), (q, qx, qy, qc) = ([table.column(c).to_numpy()[order[block[order] == k]] for c in names] for k in (i, j))
+    parts = []
+    if len(p) and len(q):
+        left, right = (np.flatnonzero(np.r_[True, c[1:] != c[:-1]]) for c in (pc, qc))
+        for low, high in zip(left, [*left[1:], len(p)]):  # a component of the left block against all of the right
+            best = None
+            for k in range(low, high, 64):
+                rows = slice(k, min(k + 64, high))
+                d2 = (px[rows, None] - qx) ** 2 + (py[rows, None] - qy) ** 2
+                least = np.minimum.reduceat(d2.min(axis=0), right)
+                x, y = np.nonzero(d2 == np.repeat(least, np.diff([*right, len(q)])))
+                got = np.stack([qc[y], np.minimum(p[rows][x], q[y]), np.maximum(p[rows][x], q[y])])
+                found = (d2[x, y], got) if best is None else (np.r_[best[0], d2[x, y]], np.concatenate([best[1], got], axis=1))
+                by = np.lexsort([found[1][2], found[1][1], found[0], found[1][0]])
+                by = by[np.r_[True, np.diff(found[1][0][by]) != 0]]
+                best = found[0][by], found[1][:, by]
+            keep = best[1][0] > pc[low] if i == j else best[1][0] != pc[low]
+            own = np.full(keep.sum(), pc[low])
+            c, src, dst = best[1][:, keep]
+            parts.append((np.minimum(own, c), np.maximum(own, c), np.sqrt(best[0][keep]), src, dst))
+    cols = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, t) for t in (np.int64, np.int64, float, np.int64, np.int64)]
+    return pa.table(dict(zip(["a", "b", "d", "src", "dst"], cols)))
+
+
 def bridge_edges(points: DataFrame, edges: DataFrame, start: float | None = None) -> DataFrame:
     """`(src, dst, distance)`: the edges that join the components at least total distance.
 
@@ -73,7 +105,7 @@ def bridge_edges(points: DataFrame, edges: DataFrame, start: float | None = None
     components again and again, in the order (distance, lower id, higher id):
     rounds in which every component but the largest takes its closest pair.
     """
-    state = materialise(points.select("node_id", "x", "y").join(components(points, edges), "node_id"), "points")
+    state = materialise(points.select("node_id", "x", "y").join(components(points, edges).hint("merge"), "node_id"), "points")
     if start is None:
         s = state.agg(F.count(F.lit(1)), F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
         start = max(s[1] or 0.0, s[2] or 0.0, 1e-9) / max(1.0, float(s[0])) ** 0.5
@@ -83,12 +115,12 @@ def bridge_edges(points: DataFrame, edges: DataFrame, start: float | None = None
         top = sizes.orderBy(F.desc("count"), "component").limit(2).collect()
         if len(top) < 2:
             return out
-        new = _nearest_other(state, state.where(F.col("component") != top[0]["component"]), start)
+        new = nearest_other(state, state.where(F.col("component") != top[0]["component"]), start)
         new = materialise(new.select(F.col("lo").alias("src"), F.col("hi").alias("dst"), F.sqrt("d2").alias("distance")).distinct(), "bridges")
         out = out.unionByName(new)
-        label = lambda c: state.select(F.col("node_id").alias(c), F.col("component").alias(f"{c}_part"))  # noqa: B023, E731
+        label = lambda c: state.select(F.col("node_id").alias(c), F.col("component").alias(f"{c}_part")).hint("merge")  # noqa: B023, E731
         merged = connected_components(new.join(label("src"), "src").join(label("dst"), "dst"), "src_part", "dst_part").select(F.col("node").alias("component"), F.col("component").alias("into"))
-        state = materialise(state.join(merged, "component", "left").select("node_id", "x", "y", F.coalesce("into", "component").alias("component")), "points")
+        state = materialise(state.join(merged.hint("merge"), "component", "left").select("node_id", "x", "y", F.coalesce("into", "component").alias("component")), "points")
 
 
 def connect_components(nodes: DataFrame, edges: DataFrame, node: str = "node_id") -> DataFrame:

@@ -226,3 +226,22 @@ def test_touch_with_rings_of_different_lengths(spark):
     apart = box(0, 1, 1, 2) + box(2, 0.5, 3, 1)
     p = polygons(spark, box(0, 0, 1, 1), bent, apart, box(1, 1, 1.2, 3), [])
     assert pairs(C.touch_edges(p)) == [(1, 2), (1, 3), (1, 4), (2, 3), (3, 4)]
+
+
+def test_component_distances_equal_all_pairs(spark, monkeypatch):
+    from terrane.operators import regionalise
+    from terrane.plans.queries import component_distances
+
+    monkeypatch.setattr(regionalise, "BLOCK", 6)
+    rng = np.random.default_rng(9)
+    rows = [(i, *map(float, v), int(c)) for i, (v, c) in enumerate(zip(rng.integers(0, 9, (90, 2)), [*[40] * 50, *rng.integers(30, 50, 40)]))]
+    df = component_distances(spark.createDataFrame(rows, "node_id long, x double, y double, component long"))
+    assert "CartesianProduct" not in (plan := df._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in plan
+    best = {}
+    for (p, px, py, a), (q, qx, qy, b) in itertools.permutations(rows, 2):
+        if a < b:
+            best[a, b] = min(best.get((a, b), (np.inf,)), ((px - qx) ** 2 + (py - qy) ** 2, min(p, q), max(p, q)))
+    got = {(r["a"], r["b"]): (r["d"], r["src"], r["dst"]) for r in df.collect()}
+    assert got == {k: (float(np.sqrt(v[0])), *v[1:]) for k, v in best.items()}
+    one = component_distances(spark.createDataFrame(rows[:3], df.sparkSession.createDataFrame(rows, "node_id long, x double, y double, component long").schema))
+    assert one.count() == 0
