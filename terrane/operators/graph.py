@@ -20,7 +20,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     after O(log^2 n) rounds.  Every step is a partially aggregated minimum and
     a join, so a node with very many edges is combined before the shuffle and
     split by AQE after it; each round is written to the shared folder.  Nulls
-    and self loops give no edge.
+    and self loops give no edge.  The joins are never broadcasts: a written
+    table of sorted numbers looks small on disk, and each round would send it
+    to the driver.
     """
     e = edges.select(F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b"))
     e = e.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -30,9 +32,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        large = both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(low.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         last, e = e, _written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         drop(last)
         if e.observed == last.observed:

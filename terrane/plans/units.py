@@ -34,7 +34,7 @@ def units(spark: SparkSession, sf_dir: str, holes: bool = False) -> DataFrame:
     c = cells(spark, sf_dir)
     if holes:
         c = c.where(~F.col("segment").isin(*HOLES))
-    out = c.join(attributes(spark, sf_dir), "node_id", "left")
+    out = c.join(attributes(spark, sf_dir).hint("merge"), "node_id", "left")
     return out.withColumns({"rings": unit_square(F.col("gx"), F.col("gy")), "x": F.col("gx") + 0.5, "y": F.col("gy") + 0.5})
 
 

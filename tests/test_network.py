@@ -228,20 +228,29 @@ def test_touch_with_rings_of_different_lengths(spark):
     assert pairs(C.touch_edges(p)) == [(1, 2), (1, 3), (1, 4), (2, 3), (3, 4)]
 
 
-def test_component_distances_equal_all_pairs(spark, monkeypatch):
-    from terrane.operators import regionalise
-    from terrane.plans.queries import component_distances
-
-    monkeypatch.setattr(regionalise, "BLOCK", 6)
-    rng = np.random.default_rng(9)
-    rows = [(i, *map(float, v), int(c)) for i, (v, c) in enumerate(zip(rng.integers(0, 9, (90, 2)), [*[40] * 50, *rng.integers(30, 50, 40)]))]
-    df = component_distances(spark.createDataFrame(rows, "node_id long, x double, y double, component long"))
-    assert "CartesianProduct" not in (plan := df._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in plan
-    best = {}
-    for (p, px, py, a), (q, qx, qy, b) in itertools.permutations(rows, 2):
-        if a < b:
-            best[a, b] = min(best.get((a, b), (np.inf,)), ((px - qx) ** 2 + (py - qy) ** 2, min(p, q), max(p, q)))
-    got = {(r["a"], r["b"]): (r["d"], r["src"], r["dst"]) for r in df.collect()}
-    assert got == {k: (float(np.sqrt(v[0])), *v[1:]) for k, v in best.items()}
-    one = component_distances(spark.createDataFrame(rows[:3], df.sparkSession.createDataFrame(rows, "node_id long, x double, y double, component long").schema))
-    assert one.count() == 0
+def test_snap_edges_send_no_vertices_to_the_driver(spark, tmp_path):
+    polygons(spark, box(0, 0, 1, 1), box(1, 0, 2, 1)).write.parquet(str(tmp_path / "p"))
+    p = spark.read.parquet(str(tmp_path / "p"))
+    for edges in (C.snap_edges(p, "rook"), C.snap_edges(p, "queen", min_shared_length=1.0)):
+        assert "BroadcastHashJoin" not in edges._jdf.queryExecution().executedPlan().toString()
+        assert pairs(edges) == [(1, 2)]
+
+
+def test_iterations_send_no_table_to_the_driver(spark, monkeypatch):
+    from terrane.operators import graph
+    from terrane.sources import workspace
+
+    plans = []
+
+    def seen(df, *args, **options):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return workspace.materialise(df, *args, **options)
+
+    for module in (graph, N):
+        monkeypatch.setattr(module, "materialise", seen)
+    rng = np.random.default_rng(2)
+    p = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(rng.integers(0, 9, (12, 2)))], "node_id long, x double, y double")
+    e = spark.createDataFrame([(0, 1), (1, 2), (3, 4), (6, 7)], "src long, dst long")
+    assert N.bridge_edges(p, e).count() == 7
+    joins = [x for x in plans if "Join" in x]
+    assert len(joins) > 5 and not any("Broadcast" in x for x in joins)
